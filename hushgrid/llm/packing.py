@@ -98,3 +98,8 @@ def pack_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", **options
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
     return pack_texts(common.table(spark, sf_dir, "documents"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packing plan of the documents that the stages before have kept."""
+    return pack_texts(docs)

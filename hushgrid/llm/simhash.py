@@ -17,10 +17,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -228,5 +227,24 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: int = 4) -> DataFrame:
+    """Keep one document of each group: the one with the least doc_id.
+
+    Of rows with equal ids the one with the least text stays. Rows without an id stay only where the whole
+    group has none, one of them.
+    """
+    found = near_duplicates(docs, threshold=threshold).select("doc_id", "component_id")
+    path = common.scratch(spark, "components")
+    found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().write.parquet(path)
+    kept = spark.read.parquet(path).withColumnRenamed("doc_id", "_kept")
+    out = docs.join(kept.select("_kept"), docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
+    again = kept.filter("count > 1").select("_kept")
+    if again.limit(1).count():
+        first = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+        once = out.join(again, out.doc_id.eqNullSafe(F.col("_kept")), "left_semi").withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
+        out = out.join(again, out.doc_id.eqNullSafe(F.col("_kept")), "left_anti").unionByName(once)
+    return out
+
+
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
