@@ -81,7 +81,8 @@ class Rtf:
                 elif mark in ("~", "_") and not self.silent:
                     self.out.append(" " if mark == "~" else "\u2011")
                 self.at += 2
-        return re.sub(r"\n{3,}", "\n\n", "".join(self.out)).strip("\n")
+        text = "".join(self.out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")  # code units to characters
+        return re.sub(r"\n{3,}", "\n\n", text).strip("\n")
 
 
 def rtf_text(data: bytes) -> str:
