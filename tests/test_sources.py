@@ -23,7 +23,7 @@ def test_lines(spark):
 
 
 def test_csv_and_json():
-    rows = list(S.csv_cells(b"name;name;\nA;B;\nC;D;E;F\nG\n"))
+    rows = list(S.csv_cells(b"name,name,\nA,B,\nC,D,E,F\nG\n"))
     assert [r[3] for r in rows[:3]] == ["name", "name#2", "column_3"] and rows[5][5] == "E" and len(rows) == 9 and rows[8][5] == ""
     cells = list(S.json_cells(b'{"r":[{"a/b":{"c":1.0}},{"x":null,"y":true}]}'))
     assert [(c[3], c[4], c[5], c[6]) for c in cells] == [("r.a/b.c", "/r/0/a~1b/c", "1", "double"), ("r.x", "/r/1/x", None, "null"), ("r.y", "/r/1/y", "true", "boolean")]
