@@ -27,9 +27,10 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 #: Words of class, id and role that name what is not the article.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|popup|modal|newsletter|subscribe|signup|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"sidebar|side|aside|widget|footer|header|masthead|toolbar|pagination|pager|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|login|search|contentinfo|complementary|alert)(?=$|[\s_-])",
+    r"sidebar|side|aside|widget|footer|header|masthead|toolbar|pagination|pager|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|responses|discussion|dialog|login|search|contentinfo|complementary|alert)(?=$|[\s_-])",
     re.I,
 )
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 REGION = set("article main section div td body html center blockquote".split())
 SIGMA = 2.0
 
@@ -47,7 +48,6 @@ class Lines(HTMLParser):
         self.path: tuple[int, ...] = ()
         self.names: dict[int, str] = {}
         self.made = 0
-        self.articles = 0
 
     def cut(self) -> None:
         """End the line."""
@@ -68,15 +68,16 @@ class Lines(HTMLParser):
             return
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             self.close_implied(tag)
-        named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
+        named = _CAMEL.sub("-", " ".join(v for k, v in attrs if k in ("class", "id", "role") and v))
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
         skip = bool(self.open) and self.open[-1][1]
         if not skip and tag not in ("html", "body", "article", "main", "h1"):
             own_header = tag == "header" and not any(name in ("article", "main") for name, _, _ in self.open)
             skip = tag in SKIP or own_header or hidden or bool(named and MARKED.search(named))
+        if skip and not self.skip:
+            self.cut()  # text before belongs to what is kept
         self.made += 1
         self.names[self.made] = tag
-        self.articles += tag == "article"
         self.open.append((tag, skip, self.made))
         self.state()
 
@@ -106,6 +107,8 @@ class Lines(HTMLParser):
         self.tags += 1
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
+                if self.skip and not (k and self.open[k - 1][1]):
+                    self.cut()
                 del self.open[k:]
                 self.state()
                 return
