@@ -38,115 +38,111 @@ def grams_of(word: str) -> Iterator[str]:
 
 
 class Model:
-    """Log frequencies of words and n-grams in each language."""
+    """Log frequencies of words and n-grams: each key's row in a matrix with a column for each language."""
 
-    def __init__(self, langs: list[str], priors: list[float], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], max_cached: int = 300_000):
+    def __init__(self, langs: list[str], priors: list[float], words: tuple[dict[str, int], np.ndarray], grams: tuple[dict[str, int], np.ndarray], max_cached: int = 200_000):
         self.langs, self.priors = langs, np.asarray(priors)
-        self.words, self.grams = words, grams
+        self.words, self.word_rows = words
+        self.grams, self.gram_rows = grams
         self.unseen: dict[str, np.ndarray | None] = {}
         self.max_cached = max_cached
 
     def __getstate__(self):
-        return self.langs, self.priors, self.words, self.grams, self.max_cached
-
-    def __setstate__(self, state):
-        self.langs, self.priors, self.words, self.grams, self.max_cached = state
-        self.unseen = {}
+        return self.__dict__ | {"unseen": {}}
 
     def back_off(self, word: str) -> np.ndarray | None:
         """Score of a word that was not seen; None if not one character of it is known."""
-        marked, k, out = f" {word} ", 0, None
+        marked, k, rows = f" {word} ", 0, []
         while k < len(marked):
             for n in range(min(MAX_GRAM, len(marked) - k), 0, -1):
                 got = self.grams.get(marked[k : k + n])
                 if got is not None:
                     if marked[k : k + n] != " ":  # the mark alone says nothing
-                        out = got if out is None else out + got
+                        rows.append(got)
                     k += n
                     break
             else:
                 k += 1
-        return out
+        return self.gram_rows[rows].sum(axis=0) if rows else None
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its posterior; ``und`` and 0 for null or a text without a letter. Ties go to the first name."""
         found = words_of(text or "")
-        if not found:
+        if not found or not self.langs:
             return NONE, 0.0
-        known, times, total = [], [], np.zeros(len(self.langs))
+        rows, times, total = [], [], self.priors.copy()
         for w, n in found.items():
-            score = self.words.get(w)
-            if score is None:
-                if w in self.unseen:
-                    score = self.unseen[w]
-                else:
-                    if len(self.unseen) >= self.max_cached:
-                        self.unseen.clear()
-                    score = self.unseen[w] = self.back_off(w)
-            if score is not None:
-                known.append(score)
+            row = self.words.get(w)
+            if row is not None:
+                rows.append(row)
                 times.append(n)
-        if known:
-            total = np.asarray(times, dtype=float) @ np.asarray(known)
-        total = total + self.priors
+                continue
+            if w in self.unseen:
+                score = self.unseen[w]
+            else:
+                if len(self.unseen) >= self.max_cached:
+                    self.unseen.clear()
+                score = self.unseen[w] = self.back_off(w)
+            if score is not None:
+                total += n * score
+        if rows:
+            total += np.asarray(times, dtype=float) @ self.word_rows[rows]
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs_per_lang: int = 2_000, max_words: int = 100_000, max_grams: int = 100_000) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs_per_lang: int = 1_000, max_words: int = 50_000, max_grams: int = 60_000) -> Model:
     """Fit on a bounded sample of labelled rows: about ``max_docs_per_lang`` of each language, by a hash of the text.
 
-    Rows with a null text or language are not learned from. The most frequent ``max_words`` words and
-    ``max_grams`` n-grams are kept. Without a labelled row the model knows no language and says ``und``.
+    Rows with a null text or language are not learned from. Counting is done on the executors; the driver gets the
+    at most ``max_words`` most frequent words that occur twice or more, and at most ``max_grams`` n-grams over all
+    lengths. Without a labelled row the model knows no language and says ``und``.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
-    if not sizes:
-        return Model([], [], {}, {})
+    langs = sorted(sizes)
+    if not langs:
+        return Model([], [], ({}, np.zeros((0, 0))), ({}, np.zeros((0, 0))))
     rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, max_docs_per_lang / n))])
     sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000)
+    kinds = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("key", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by_lang: dict[str, Counter] = {}
+            found: dict[tuple[str, int], Counter] = {}
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
-                by_lang.setdefault(lang, Counter()).update(words_of(text))
-            rows = [(lang, w, n) for lang, c in by_lang.items() for w, n in c.items()]
-            yield pa.RecordBatch.from_pydict({"lang": [r[0] for r in rows], "word": [r[1] for r in rows], "n": [r[2] for r in rows]}, schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
-
-    counts = sample.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    langs = sorted(sizes)
-    at = {lang: k for k, lang in enumerate(langs)}
-    by_word: dict[str, np.ndarray] = {}
-    for r in counts.toPandas().sort_values(["n", "word", "lang"], ascending=[False, True, True]).itertuples(index=False):
-        row = by_word.get(r.word)
-        if row is None:
-            row = by_word[r.word] = np.zeros(len(langs))
-        row[at[r.lang]] += r.n
-    by_gram: dict[str, np.ndarray] = {}
-    for w, row in by_word.items():
-        for g in grams_of(w):
-            have = by_gram.get(g)
-            by_gram[g] = row.copy() if have is None else have + row
-    totals = sum(sizes.values())
-    # words met once say little more than their n-grams
-    words = logs({w: r for w, r in by_word.items() if r.sum() > 1}, max_words)
-    grams: dict[str, np.ndarray] = {}
-    for n in range(1, MAX_GRAM + 1):
-        grams |= logs({g: r for g, r in by_gram.items() if len(g) == n and (n == 1 or r.sum() > 1)}, max_grams // MAX_GRAM)
-    return Model(langs, [float(np.log(sizes[lang] / totals)) for lang in langs], words, grams)
-
-
-def logs(counts: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
-    """Smoothed log relative frequencies of the ``most`` most frequent keys."""
-    if not counts:
-        return {}
-    kept = sorted(counts, key=lambda k: (-counts[k].sum(), k))[:most]
-    matrix = np.array([counts[k] for k in kept])
-    logged = np.log((matrix + 0.5) / (matrix.sum(axis=0) + 0.5 * len(kept)))
-    return dict(zip(kept, logged))
+                for w, n in words_of(text).items():
+                    found.setdefault((lang, 0), Counter())[w] += n
+                    for g in grams_of(w):
+                        found.setdefault((lang, len(g)), Counter())[g] += n
+            for (lang, size), c in found.items():  # size 0: whole words
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array([size] * len(c), pa.int32()), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], schema=kinds)
+
+    counts = sample.mapInArrow(count, "lang string, size int, key string, n bigint").groupBy("size", "key", "lang").agg(F.sum("n").alias("n"))
+    per_lang = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{k}") for k, lang in enumerate(langs)]
+    path = common.scratch(spark, "language-counts")
+    counts.groupBy("size", "key").agg(F.sum("n").alias("n"), *per_lang).filter("n > 1 or size = 1").write.parquet(path)
+    keys = spark.read.parquet(path)
+    tables = {}
+    for size in range(MAX_GRAM + 1):
+        own = keys.filter(F.col("size") == size)
+        # the least count at which no more than the bound are left, from the histogram of counts (rare counts in one bin)
+        most = max_grams // MAX_GRAM if size else max_words
+        capped = F.least("n", F.lit(2_000))
+        left, least = 0, 2_000
+        for r in own.groupBy(capped.alias("n")).count().orderBy(F.desc("n")).collect():
+            if left + r["count"] > most:
+                break
+            left, least = left + r["count"], r["n"]
+        rows = own.filter(capped >= least).orderBy("key").toPandas()
+        matrix = rows[[f"n{k}" for k in range(len(langs))]].to_numpy(dtype=float)
+        tables[size] = (rows["key"].tolist(), np.log((matrix + 0.5) / (matrix.sum(axis=0) + 0.5 * max(1, len(matrix)))))
+    grams = [k for size in range(1, MAX_GRAM + 1) for k in tables[size][0]]
+    total = sum(sizes.values())
+    priors = [float(np.log(sizes[lang] / total)) for lang in langs]
+    return Model(langs, priors, ({k: n for n, k in enumerate(tables[0][0])}, tables[0][1]), ({k: n for n, k in enumerate(grams)}, np.concatenate([tables[s][1] for s in range(1, MAX_GRAM + 1)])))
 
 
 def identify(model: Model, text: Column) -> Column:
