@@ -98,6 +98,11 @@ def best_spans(spans: DataFrame) -> DataFrame:
     return spans.withColumn("_n", F.row_number().over(by)).filter("_n = 1").drop("_n")
 
 
+def decoded_visuals(mentions: DataFrame) -> DataFrame:
+    """Mentions without QR codes of which only the outline was found."""
+    return mentions.filter(~((F.col("entity_type") == "QR_CODE") & (F.coalesce(F.trim("plaintext"), F.lit("")) == "")))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str, keep_first: bool = False) -> DataFrame:
     """Union by key: the row with the greatest ``order``, or with ``keep_first`` the least."""
     both = old.unionByName(new)

@@ -170,6 +170,11 @@ def recommend(requests: DataFrame) -> DataFrame:
     return out.withColumns({"recommended_level": F.when(raised, 4).otherwise(level).cast("int"), "minimum_level": F.when((t == "synthetic") & table, 5).otherwise(least).cast("int"), "reasons": F.array_distinct(reasons), "l5_supported": table}).drop("term", "base")
 
 
+def below_floor(recommended: DataFrame, level: Column) -> DataFrame:
+    """Requests for a level under their minimum; a deployment that enforces floors refuses these."""
+    return recommended.filter(level < F.col("minimum_level"))
+
+
 def descriptor(present: DataFrame) -> DataFrame:
     """The rules of each document for every level and audience: array of (entity_type, action), by type."""
     acted = with_actions(present.select("doc_id", "entity_type").distinct())
