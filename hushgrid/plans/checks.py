@@ -443,6 +443,40 @@ def ner_scores(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.round(V.sigmoid(3 * F.col("l_discount") * 10 - F.col("l_quantity") / 10), 6).alias("p"))
 
 
+# --- files --------------------------------------------------------------------------------------------------
+
+
+@query("rtf_round_trip", "SELECT doc_id, sha256(trim(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), chr(10))) AS text_sha256 FROM documents")
+def rtf_round_trip(spark, d):
+    """Every document written as RTF and read back."""
+    from ..sources import office
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    made = table(spark, d, "documents").select("doc_id", F.lit("a.rtf").alias("name"), office.rtf_column(F.col("text")).alias("content"))
+    return office.texts(made).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("csv_file_cells", "SELECT c_nationkey::BIGINT AS doc_id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::BIGINT AS record, unnest(['name', 'name#2', 'column_3']) AS header, unnest([c_name, c_mktsegment, 'a,\"b\"']) AS value FROM customer")
+def csv_file_cells(spark, d):
+    """A CSV file for each nation, with repeated and empty headers and quoted cells, read to cells."""
+    from ..sources import structured
+
+    line = F.concat_ws(",", "c_name", "c_mktsegment", F.lit('"a,""b"""'))
+    rows = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("rows"))
+    files = rows.select("doc_id", F.lit("a.csv").alias("name"), F.encode(F.concat(F.lit("name,name,\n"), F.array_join("rows.line", "\n")), "UTF-8").alias("content"))
+    return structured.cells(files).select("doc_id", F.col("record").cast("long").alias("record"), "header", "value")
+
+
+@query("json_file_leaves", """SELECT c_custkey AS doc_id, unnest(['/contact/a~1b/0', '/contact/a~1b/1', '/id']) AS pointer, unnest(['contact.a/b', 'contact.a/b', 'id']) AS header, unnest([c_name, c_mktsegment, c_custkey::VARCHAR]) AS value, unnest(['string', 'string', 'bigint']) AS kind FROM customer""")
+def json_file_leaves(spark, d):
+    """A nested JSON file for each customer, read to leaves with pointers."""
+    from ..sources import structured
+
+    body = F.to_json(F.struct(F.create_map(F.lit("a/b"), F.array("c_name", "c_mktsegment")).alias("contact"), F.col("c_custkey").alias("id")))
+    files = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit("a.json").alias("name"), F.encode(body, "UTF-8").alias("content"))
+    return structured.cells(files).select("doc_id", "pointer", "header", "value", "kind")
+
+
 # --- not expressible in SQL ---------------------------------------------------------------------------------
 
 
