@@ -237,7 +237,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: int = 4)
     path = common.scratch(spark, "components")
     found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().write.parquet(path)
     kept = spark.read.parquet(path).withColumnRenamed("doc_id", "_kept")
-    out = docs.join(kept.select("_kept"), docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
+    # merged at every size: the ids that stay grow with the corpus, so they are never broadcast
+    out = docs.join(kept.select("_kept").hint("merge"), docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
     again = kept.filter("count > 1").select("_kept")
     if again.limit(1).count():
         first = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
