@@ -40,15 +40,28 @@ def grams_of(word: str) -> Iterator[str]:
 class Model:
     """Log frequencies of words and n-grams: each key's row in a matrix with a column for each language."""
 
-    def __init__(self, langs: list[str], priors: list[float], words: tuple[dict[str, int], np.ndarray], grams: tuple[dict[str, int], np.ndarray], max_cached: int = 200_000):
+    def __init__(self, langs: list[str], priors: list[float], words: tuple[dict[str, int], np.ndarray], grams: tuple[dict[str, int], np.ndarray], max_cached: int = 300_000):
         self.langs, self.priors = langs, np.asarray(priors)
         self.words, self.word_rows = words
         self.grams, self.gram_rows = grams
-        self.unseen: dict[str, np.ndarray | None] = {}
         self.max_cached = max_cached
+        self.forget(0)
+
+    def forget(self, room: int) -> None:
+        """Empty the cache of unseen words, whose rows follow those of the words; at least ``room`` of them fit."""
+        self.unseen: dict[str, int] = {}
+        size = len(self.words) + max(self.max_cached, room)
+        if getattr(self, "rows", None) is None or len(self.rows) < size:
+            self.rows = np.zeros((size, max(1, len(self.langs))))
+            if len(self.words):
+                self.rows[: len(self.words)] = self.word_rows
 
     def __getstate__(self):
-        return self.__dict__ | {"unseen": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("unseen", "rows")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.forget(0)
 
     def back_off(self, word: str) -> np.ndarray | None:
         """Score of a word that was not seen; None if not one character of it is known."""
@@ -70,23 +83,17 @@ class Model:
         found = words_of(text or "")
         if not found or not self.langs:
             return NONE, 0.0
-        rows, times, total = [], [], self.priors.copy()
-        for w, n in found.items():
+        if len(self.unseen) + len(found) > self.max_cached:
+            self.forget(len(found))
+        at = []
+        for w in found:
             row = self.words.get(w)
-            if row is not None:
-                rows.append(row)
-                times.append(n)
-                continue
-            if w in self.unseen:
-                score = self.unseen[w]
-            else:
-                if len(self.unseen) >= self.max_cached:
-                    self.unseen.clear()
-                score = self.unseen[w] = self.back_off(w)
-            if score is not None:
-                total += n * score
-        if rows:
-            total += np.asarray(times, dtype=float) @ self.word_rows[rows]
+            if row is None and (row := self.unseen.get(w)) is None:
+                row = self.unseen[w] = len(self.words) + len(self.unseen)
+                score = self.back_off(w)
+                self.rows[row] = 0 if score is None else score
+            at.append(row)
+        total = self.priors + np.fromiter(found.values(), dtype=float, count=len(found)) @ self.rows[at]
         best = int(total.argmax())
         return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
