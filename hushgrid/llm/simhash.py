@@ -15,6 +15,7 @@ are cut into tiles, and every pair of tiles is one task: exact, with bounded mem
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -77,10 +78,7 @@ def anchors(half: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     table = hamming_syndromes()
     half = half.astype(np.int64) & 0x7FFFFFFF
     syndrome = (table[0][half & 0xFFFF] ^ table[1][half >> 16]).astype(np.int64)
-    n = len(half)
     rows, words = [np.flatnonzero(syndrome == 0)], [half[syndrome == 0]]
-    from itertools import combinations
-
     for w in range(1, radius + 1):
         for flips in combinations(range(31), w - 1):  # the last flip is above the others, so each set comes once
             rest = syndrome.copy()
@@ -92,7 +90,6 @@ def anchors(half: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             ok = np.flatnonzero((rest > 0) & (last > (flips[-1] if flips else -1)))
             rows.append(ok)
             words.append(half[ok] ^ mask ^ (np.int64(1) << last[ok]))
-    assert n == 0 or len(rows)
     return np.concatenate(rows), np.concatenate(words)
 
 
@@ -111,15 +108,10 @@ def replicate(prints: DataFrame, threshold: int) -> DataFrame:
     return prints.select("fp").mapInArrow(run, "anchor bigint, fp bigint")
 
 
-def forest(left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Spanning links of the fingerprints that are close within ``left`` | ``right``.
-
-    With ``right`` empty all of ``left`` is compared with itself; else all pairs within the union are, which
-    includes every pair across. Spreads from each fingerprint in turn through those not yet reached.
-    """
-    todo = np.concatenate([left, right]) if len(right) else left
+def forest(prints: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Spanning links of the fingerprints that are close, found by spreading from each through those not yet reached."""
     links: list[tuple[int, int]] = []
-    todo = np.unique(todo)
+    todo = np.unique(prints)
     while len(todo) > 1:
         front, todo = [todo[-1]], todo[:-1]
         while front and len(todo):
@@ -151,7 +143,7 @@ def near_links(prints: DataFrame, threshold: int = 4, tile: int = TILE) -> DataF
 
         def done() -> Iterator[pa.RecordBatch]:
             if key is not None:
-                links = forest(np.concatenate(own).view(np.uint64), np.empty(0, dtype=np.uint64), threshold)
+                links = forest(np.concatenate(own).view(np.uint64), threshold)
                 if links:
                     pairs = np.array(links, dtype=np.uint64).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
