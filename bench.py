@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from hushgrid.plans import catalog
 
-#: Reported one by one; each is run once to warm up and its best of two runs counts.
+#: Reported one by one; the better of two runs counts.
 HEADLINE = ["detect_mentions", "pii_exposure_by_document", "lines_with_offsets", "card_luhn_mentions", "canonical_entities", "exposure_components", "graph_edges", "policy_replacements", "leak_scan", "fragment_ngrams", "char_level_prf", "prf_grouping_sets", "ledger_chain_verify", "events_sessions", "correlation_fidelity"]
 
 
@@ -34,7 +34,7 @@ def main() -> None:
     queries: dict[str, float] = {}
     for name in HEADLINE:
         best = None
-        for _ in range(3):
+        for _ in range(2):
             began = time.time()
             catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took = time.time() - began
