@@ -9,7 +9,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,59 +19,90 @@ from pyspark.sql import functions as F
 from . import common, token_counts
 
 
+class Pieces(dict):
+    """Piece (bytes) -> its number. A new one gets the next number and waits in ``fresh`` to be encoded."""
+
+    fresh: list[bytes]
+
+    def __missing__(self, piece: bytes) -> int:
+        self[piece] = number = len(self)
+        self.fresh.append(piece)
+        return number
+
+
 class Encoder:
     """Ids as the tokenizers library gives them, each distinct piece encoded once while it stays cached.
 
     Encoding a text is encoding its pre-tokenizer pieces one after the other. Texts that hold a special
-    string go to the library whole.
+    string go to the library whole. Ids of all cached pieces lie end to end in one pool.
     """
 
-    def __init__(self, path: str, max_cached: int = 400_000):
+    def __init__(self, path: str, max_cached: int = 800_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.library = Tokenizer.from_file(path)
-        self.specials = list(self.library.get_added_tokens_decoder().values())
-        self.specials = [t.content for t in self.specials]
-        self.cache: dict[str, list[int]] = {}
+        self.single = Tokenizer.from_file(path)  # for what is one piece already: bytes to characters, no splitting
+        self.single.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.max_cached = max_cached
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.reset()
+
+    def reset(self) -> None:
+        self.numbers = Pieces()
+        self.numbers.fresh = []
+        self.pool = np.empty(1 << 16, dtype=np.int32)
+        self.first = np.zeros(1, dtype=np.int64)  # where each piece's ids begin in the pool; one more than pieces
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
+
+    def learn(self) -> None:
+        """Encode the fresh pieces, many in a call as words of one input, and lay their ids in the pool."""
+        fresh, self.numbers.fresh = self.numbers.fresh, []
+        ids, sizes = [], []
+        for k in range(0, len(fresh), 4096):
+            part = [p.decode("utf-8") for p in fresh[k : k + 4096]]
+            got = self.single.encode_batch([part], is_pretokenized=True, add_special_tokens=False)[0]
+            ids.append(np.asarray(got.ids, dtype=np.int32))
+            sizes.append(np.bincount(np.asarray(got.word_ids, dtype=np.int64), minlength=len(part)))
+        if fresh:
+            new = np.concatenate(ids)
+            begin = int(self.first[-1])
+            while begin + len(new) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+            self.pool[begin : begin + len(new)] = new
+            self.first = np.concatenate([self.first, begin + np.cumsum(np.concatenate(sizes))])
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, each text's followed by ``end_id``, and the number for each text."""
         odd = {k: t for k, t in enumerate(texts) if any(s in t for s in self.specials)}
         plain = ["" if k in odd else t for k, t in enumerate(texts)]
-        where, _, owner = token_counts.piece_starts(plain)
+        where, byte, owner = token_counts.piece_starts(plain)
         lengths = np.fromiter(map(len, plain), dtype=np.int64, count=len(plain))
         first = np.cumsum(lengths + 1) - lengths - 1
         real = where != (first + lengths)[owner]
-        joined = "\0".join(plain) + "\0"
-        starts, ends = where[real].tolist(), np.append(where[1:], len(joined))[real].tolist()
-        pieces = [joined[a:b] for a, b in zip(starts, ends)]
-        if len(self.cache) > self.max_cached:
-            self.cache.clear()
-        missing = list({p for p in pieces if p not in self.cache})
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            self.cache.update(zip(part, self.whole(part)))
-        got = list(map(self.cache.__getitem__, pieces))
-        sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        ids = np.fromiter(chain.from_iterable(got), dtype=np.int32, count=int(sizes.sum()))
+        joined = ("\0".join(plain) + "\0").encode("utf-8")
+        starts, ends = byte[real].tolist(), np.append(byte[1:], len(joined))[real].tolist()
+        if len(self.numbers) > self.max_cached:
+            self.reset()
+        number = self.numbers.__getitem__
+        index = np.fromiter(map(number, map(joined.__getitem__, map(slice, starts, ends))), dtype=np.int64, count=len(starts))
+        self.learn()
+        begin, sizes = self.first[index], self.first[index + 1] - self.first[index]
         counts = np.bincount(owner[real], weights=sizes, minlength=len(texts)).astype(np.int64)
-        parts, at = [], 0
+        at = np.cumsum(sizes) - sizes
+        ids = self.pool[np.repeat(begin - at, sizes) + np.arange(int(sizes.sum()))]
         if odd:
+            parts, at = [], 0
             for k, n in enumerate(counts.tolist()):
-                if k in odd:
-                    own = np.asarray(self.whole([odd[k]])[0], dtype=np.int32)
-                    counts[k] = len(own)
-                    parts.append(own)
-                else:
-                    parts.append(ids[at : at + n])
-                    at += n
+                own = self.whole(odd[k]) if k in odd else ids[at : at + n]
+                at += n
+                counts[k] = len(own)
+                parts.append(own)
             ids = np.concatenate(parts)
         ids = np.insert(ids, np.cumsum(counts), np.int32(end_id))
-        return ids.astype(np.int32, copy=False), counts + 1
+        return ids, counts + 1
 
 
 @lru_cache(maxsize=2)
