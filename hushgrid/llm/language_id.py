@@ -40,7 +40,7 @@ def grams_of(word: str) -> Iterator[str]:
 class Model:
     """Log frequencies of words and n-grams: each key's row in a matrix with a column for each language."""
 
-    def __init__(self, langs: list[str], priors: list[float], words: tuple[dict[str, int], np.ndarray], grams: tuple[dict[str, int], np.ndarray], max_cached: int = 300_000):
+    def __init__(self, langs: list[str], priors: list[float], words: tuple[dict[str, int], np.ndarray], grams: tuple[dict[str, int], np.ndarray], max_cached: int = 100_000):
         self.langs, self.priors = langs, np.asarray(priors)
         self.words, self.word_rows = words
         self.grams, self.gram_rows = grams

@@ -44,7 +44,7 @@ def shape(word: str) -> str:
 
 def facts(word: str) -> tuple[int, bool, bool, bool]:
     if (got := _KNOWN.get(word)) is None:
-        if len(_KNOWN) > 400_000:
+        if len(_KNOWN) > 100_000:
             _KNOWN.clear()
         marked = not word[-1].isalnum() and word[-1] not in ".,;:!?)\"'"
         got = _KNOWN[word] = (bucket("s:" + shape(word)), marked, len(word) > 1 and word.isupper(), not any(map(str.isalnum, word)))

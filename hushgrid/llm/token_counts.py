@@ -139,7 +139,7 @@ class Merger:
     anew; counts do not depend on that.
     """
 
-    def __init__(self, path: str, max_states: int = 300_000):
+    def __init__(self, path: str, max_states: int = 160_000):
         model = json.load(open(path, encoding="utf-8"))
         alphabet = byte_alphabet()
         vocab = {bytes(alphabet[c] for c in t): i for t, i in model["model"]["vocab"].items() if all(c in alphabet for c in t)}
@@ -253,7 +253,7 @@ class Merger:
                 else:
                     limit, right = made_right + 1, self.halves[right][0]
             found = found and token in self.reachable
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             self.fits[key] = found
         return found
@@ -268,7 +268,7 @@ class Merger:
                 if self.follows(last, self.ids[self.sorted[k]]):
                     found = True
                 k += 1
-            if len(self.open) > 1_000_000:
+            if len(self.open) > 100_000:
                 self.open.clear()
             self.open[key] = found
         return found
@@ -375,7 +375,7 @@ def piece_starts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return where, offset[where], owner
 
 
-def count_tokens(texts: list[str | None], path: str, group_chars: int = 4_000_000) -> list[int]:
+def count_tokens(texts: list[str | None], path: str, group_chars: int = 1_000_000) -> list[int]:
     """Tokens of each text; null counts as empty. Texts are taken in groups so that memory stays bounded."""
     m = merger(path)
     out = np.zeros(len(texts), dtype=np.int64)
