@@ -301,6 +301,13 @@ def order_concordance(spark, d):
     return EV.order_concordance(n)
 
 
+@query("order_concordance_orders", "WITH p AS (SELECT o_orderkey AS id, o_custkey * 7 % 101 AS b, o_custkey * 7 % 101 + o_orderkey % 13 AS a FROM orders) SELECT CAST(count(*) AS BIGINT) AS pairs, round(count(*) FILTER (sign(x.b - y.b) = sign(x.a - y.a)) / count(*)::DOUBLE, 6) AS fidelity, true AS exact FROM p x JOIN p y ON x.id < y.id")
+def order_concordance_orders(spark, d):
+    """All pairs of orders, over their whole id range."""
+    b = F.col("o_custkey") * 7 % 101
+    return EV.order_concordance(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), b.alias("before"), (b + F.col("o_orderkey") % 13).alias("after")))
+
+
 @query("date_shift", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 400 AS VARCHAR) AS shifted FROM orders")
 def date_shift(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 400).cast("string").alias("shifted"))
