@@ -15,6 +15,7 @@ are cut into tiles, and every pair of tiles is one task: exact, with bounded mem
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, shingles
 
 SEED, WORDS, BITS = 42, 4, 64
 #: Fingerprints of one anchor that a task compares at once.
@@ -219,13 +220,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: int = 4) -> DataFrame:
-    """Keep one document of each group: the one with the least doc_id.
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: Fraction = shingles.SIMILARITY) -> DataFrame:
+    """Keep one document of each group that 5-word shingles of Jaccard ``similarity`` join: the one with the least doc_id.
 
     Of rows with equal ids the one with the least text stays. Rows without an id stay only where the whole
     group has none, one of them.
     """
-    found = near_duplicates(docs, threshold=threshold).select("doc_id", "component_id")
+    found = shingles.near_duplicates(docs, components, similarity)
     path = common.scratch(spark, "components")
     found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().write.parquet(path)
     kept = spark.read.parquet(path).withColumnRenamed("doc_id", "_kept")
