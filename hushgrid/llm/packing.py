@@ -19,8 +19,9 @@ GROUP_ROWS = 5_000
 def boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:
     """Boundaries (each one of ``lengths``) with the least total padding; ``lengths`` ascending and distinct.
 
-    best[j] after k rounds is the least padding of the first j lengths in k buckets; each round tries
-    every last boundary, in rows of numpy. Among equal paddings the earlier split is taken.
+    best[j] after k rounds is the least padding of the first j lengths in k buckets. The least last boundary of j
+    never falls as j grows, so each round goes by halves: the middle j of each stretch, all stretches at once, over
+    the boundaries between those of its neighbours. Among equal paddings the earlier split is taken.
     """
     n = len(lengths)
     if not n:
@@ -28,13 +29,22 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[
     mass = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
     total = np.concatenate([[0], np.cumsum(counts * lengths, dtype=np.int64)])
     best = np.concatenate([[0], lengths * mass[1:] - total[1:]]).astype(np.int64)
-    cuts = [np.zeros(n + 1, dtype=np.int64)]
+    cuts = [np.zeros(n + 1, dtype=np.int32)]
     for _ in range(min(n_buckets, n) - 1):
-        new, cut = best.copy(), np.zeros(n + 1, dtype=np.int64)
-        for j in range(1, n + 1):
-            cost = best[:j] + lengths[j - 1] * (mass[j] - mass[:j]) - (total[j] - total[:j])
-            cut[j] = int(cost.argmin())
-            new[j] = cost[cut[j]]
+        new, cut = best.copy(), np.zeros(n + 1, dtype=np.int32)
+        left, right, low, high = (np.array([x]) for x in (1, n, 0, n - 1))
+        while len(left):
+            j = (left + right) // 2
+            size = np.minimum(high, j - 1) - low + 1
+            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+            at = np.repeat(low - begin, size) + np.arange(size.sum())
+            cost = best[at] + np.repeat(lengths[j - 1], size) * (np.repeat(mass[j], size) - mass[at]) - (np.repeat(total[j], size) - total[at])
+            new[j] = np.minimum.reduceat(cost, begin)
+            least = np.flatnonzero(cost == np.repeat(new[j], size))
+            cut[j] = at[least[np.searchsorted(least, begin)]]
+            left, right, low, high = (np.concatenate(x) for x in ((left, j + 1), (j - 1, right), (low, cut[j]), (cut[j], high)))
+            some = left <= right
+            left, right, low, high = left[some], right[some], low[some], high[some]
         best = new
         cuts.append(cut)
     out, j = [], n
@@ -46,19 +56,17 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[
     return out[::-1]
 
 
-def histogram(lengths: DataFrame, col: str, max_bins: int = 4096) -> tuple[np.ndarray, np.ndarray, int]:
-    """Lengths and counts over all rows, lengths rounded up to the least power of two that gives ``max_bins`` or fewer."""
-    step = 1
-    longest = lengths.agg(F.max(col)).first()[0] or 0
-    # more bins than this cannot occur at that step, so the driver never gets more rows than max_bins
-    while longest // step + 1 > max_bins:
-        step *= 2
-    rounded = (F.ceil(F.col(col) / step) * step).cast("long")
-    rows = lengths.groupBy(rounded.alias("length")).count().orderBy("length").collect()
-    return np.array([r["length"] for r in rows], dtype=np.int64), np.array([r["count"] for r in rows], dtype=np.int64), step
+def histogram(lengths: DataFrame, col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct lengths, ascending, and their counts, over all rows.
+
+    All of them go to the driver: d distinct lengths need documents of d * d / 2 tokens together, so 10 ** 12 tokens
+    have 1.5 million at most.
+    """
+    rows = lengths.groupBy(F.col(col).cast("long").alias("length")).count().toPandas().sort_values("length")
+    return rows["length"].to_numpy(dtype=np.int64), rows["count"].to_numpy(dtype=np.int64)
 
 
-def pack(docs: DataFrame, length_col: str = "n_tokens", id_col: str = "doc_id", budget: int = 65_536, n_buckets: int = 16, max_bins: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, length_col: str = "n_tokens", id_col: str = "doc_id", budget: int = 65_536, n_buckets: int = 16) -> DataFrame:
     """doc_id, n_tokens, bucket, boundary, batch, slot for each row of ``docs``.
 
     ``boundary`` is the padded length of the bucket; a batch holds budget // boundary rows (one at least).
@@ -68,7 +76,7 @@ def pack(docs: DataFrame, length_col: str = "n_tokens", id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("n_tokens"))
-    lengths, counts, _ = histogram(rows, "n_tokens", max_bins)
+    lengths, counts = histogram(rows, "n_tokens")
     edges = boundaries(lengths, counts, n_buckets)
     n_rows = int(counts.sum()) if len(counts) else 0
     groups = max(1, -(-n_rows // GROUP_ROWS))

@@ -93,3 +93,22 @@ def test_packing(spark, docs, rows, nothing):
     assert packing.pack_texts(nothing).count() == 0
     nulls = spark.createDataFrame([(1, None), (1, None)], "doc_id bigint, n_tokens int")
     assert [r.n_tokens for r in packing.pack(nulls).collect()] == [0, 0]
+
+
+def test_one_long_document_does_not_move_the_other_boundaries(spark):
+    lengths = [(k, 10 + k % 90) for k in range(900)]
+    want = {r.doc_id: r.boundary for r in packing.pack(spark.createDataFrame(lengths, "doc_id bigint, n_tokens bigint"), n_buckets=7).collect()}
+    got = {r.doc_id: r.boundary for r in packing.pack(spark.createDataFrame([*lengths, (-1, 4_000_000)], "doc_id bigint, n_tokens bigint"), n_buckets=8).collect()}
+    assert got.pop(-1) == 4_000_000 and got == want
+
+
+def test_boundaries_by_halves_equal_every_split():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 60):
+        lengths, counts = np.sort(rng.choice(400, n, replace=False)) + 1, rng.integers(1, 9, n)
+        for k in (1, 2, 5, 16):
+            best = [0] + [int((counts[:j] * (lengths[j - 1] - lengths[:j])).sum()) for j in range(1, n + 1)]
+            for _ in range(k - 1):
+                best = [0] + [min(best[i] + int((counts[i:j] * (lengths[j - 1] - lengths[i:j])).sum()) for i in range(j)) for j in range(1, n + 1)]
+            edges = packing.boundaries(lengths, counts, k)
+            assert sum(int(c) * (min(e for e in edges if e >= x) - int(x)) for x, c in zip(lengths.tolist(), counts.tolist())) == best[n]
