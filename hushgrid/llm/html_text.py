@@ -2,9 +2,10 @@
 
 The standard library's streaming parser cuts a page into lines, one for each block of running text. A line's
 ratio is its characters over its tags. Ratios are smoothed along the page; lines above the threshold are the
-dense cluster, and the container that holds most of its text is the content region. All lines of that region
+dense clusters, and the smallest container that holds them all is the content region. All lines of that region
 are the article, short ones included. Blocks that markup declares to be something else (navigation, adverts,
-comments ...) have ratio zero and never belong to it.
+comments ...) have ratio zero and never belong to it. Inside an article, a name that its own parts may also have
+(related, discussion, search ...) counts only where the block has little text for its tags, or mostly links.
 """
 
 from __future__ import annotations
@@ -21,15 +22,21 @@ from . import common
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never the article's.
-SKIP = set("script style noscript template svg math canvas iframe object audio video head title form button select option textarea fieldset label nav aside footer menu dialog".split())
+SKIP = set("script style noscript template svg annotation annotation-xml canvas iframe object audio video head title form button select option textarea fieldset label nav aside footer menu dialog".split())
 #: Elements that stay inside a line of text.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE |= set("semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mspace mstyle mpadded mphantom menclose mmultiscripts merror".split())
+HEADING = set("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that name what is not the article.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|popup|modal|newsletter|subscribe|signup|nav|navbar|navigation|menu|breadcrumbs?|"
     r"sidebar|side|aside|widget|footer|header|masthead|toolbar|pagination|pager|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|responses|discussion|dialog|login|search|contentinfo|complementary|alert)(?=$|[\s_-])",
     re.I,
 )
+#: Of these, the words that parts of an article are not named by.
+SURE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|cookies?|consent|gdpr|newsletter|subscribe|navbar|breadcrumbs?|commentlist|disqus)(?=$|[\s_-])", re.I)
+#: Characters for a tag below which, and share of link text from which, a block of an article is what its name says.
+LOW_RATIO, LINKS = 10, 0.5
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 REGION = set("article main section div td body html center blockquote".split())
 SIGMA = 2.0
@@ -42,6 +49,11 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []  # name, whether text below is skipped, number of the element
         self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.doubts: list[tuple[int, ...]] = []  # of each line, the elements around it whose names alone speak against them
+        self.glued: list[bool] = []  # whether a line goes on in the word that the one before ends in
+        self.doubted: dict[int, list[int]] = {}  # element -> its characters, start tags, characters of links
+        self.inside: tuple[int, ...] = ()
+        self.loose = True
         self.text: list[str] = []
         self.tags = 0
         self.skip = False
@@ -49,16 +61,22 @@ class Lines(HTMLParser):
         self.names: dict[int, str] = {}
         self.made = 0
 
-    def cut(self) -> None:
-        """End the line."""
-        text = " ".join("".join(self.text).split())
+    def cut(self, within: bool = False) -> None:
+        """End the line; ``within``: where running text goes on."""
+        raw = "".join(self.text)
+        text = " ".join(raw.split())
         if text or self.tags:
             self.lines.append((text, self.tags, self.skip, self.path))
+            self.doubts.append(self.inside)
+            self.glued.append(not self.loose and bool(raw) and not raw[0].isspace())
+        if raw or not within:
+            self.loose = not within or raw[-1].isspace()
         self.text, self.tags = [], 0
 
     def state(self) -> None:
         self.skip = bool(self.open) and self.open[-1][1]
         self.path = tuple(n for name, _, n in self.open if name in REGION)
+        self.inside = tuple(n for _, _, n in self.open if n in self.doubted) if self.doubted else ()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
@@ -70,13 +88,23 @@ class Lines(HTMLParser):
             self.close_implied(tag)
         named = _CAMEL.sub("-", " ".join(v for k, v in attrs if k in ("class", "id", "role") and v))
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs)
-        skip = bool(self.open) and self.open[-1][1]
+        skip, doubt = bool(self.open) and self.open[-1][1], False
         if not skip and tag not in ("html", "body", "article", "main", "h1"):
             own_header = tag == "header" and not any(name in ("article", "main") for name, _, _ in self.open)
-            skip = tag in SKIP or own_header or hidden or bool(named and MARKED.search(named))
-        if skip and not self.skip:
-            self.cut()  # text before belongs to what is kept
+            skip = tag in SKIP or own_header or hidden
+            if not skip and named and MARKED.search(named):
+                around = [name for name, _, _ in self.open]
+                if "article" not in around and "main" not in around or SURE.search(named):
+                    skip = True
+                elif tag not in HEADING and tag != "math" and "math" not in around:
+                    doubt = True
+        if (skip or doubt) and not self.skip:
+            self.cut(within=tag in INLINE)  # text before belongs to what is kept
         self.made += 1
+        if doubt:
+            self.doubted[self.made] = [0, 0, 0]
+        for n in (*self.inside, *([self.made] if doubt else [])):
+            self.doubted[n][1] += 1
         self.names[self.made] = tag
         self.open.append((tag, skip, self.made))
         self.state()
@@ -107,14 +135,25 @@ class Lines(HTMLParser):
         self.tags += 1
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                if self.skip and not (k and self.open[k - 1][1]):
-                    self.cut()
+                if self.skip and not (k and self.open[k - 1][1]) or self.open[k][2] in self.doubted:
+                    self.cut(within=tag in INLINE)
                 del self.open[k:]
                 self.state()
                 return
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
+        if self.inside and not self.skip:
+            n = len(data.strip())
+            link = any(name == "a" for name, _, _ in self.open)
+            for k in self.inside:
+                self.doubted[k][0] += n
+                self.doubted[k][2] += n * link
+
+    def settled(self) -> list[tuple[str, int, bool, tuple[int, ...]]]:
+        """The lines, those skipped too that lie in a doubted element of little text or many links."""
+        out = {n for n, (chars, tags, links) in self.doubted.items() if chars < LOW_RATIO * tags or links >= LINKS * chars}
+        return [(text, tags, skip or not out.isdisjoint(own), path) for (text, tags, skip, path), own in zip(self.lines, self.doubts)]
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -133,7 +172,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = parser.lines
+    lines = parser.settled()
     if not any(text and not skip for text, _, skip, _ in lines):
         return ""
     ratio = np.array([0.0 if skip else len(text) / max(1, tags) for text, tags, skip, _ in lines])
@@ -141,7 +180,7 @@ def main_text(html: str | None) -> str:
     dense = (level >= min(level.mean(), level.max() / 2)) & (ratio > 0)
     if not dense.any():
         dense = ratio > 0
-    # text of the dense cluster in each container, its parts included
+    # text of the dense clusters in each container, its parts included
     mass: dict[int, int] = {}
     total = 0
     for k in np.flatnonzero(dense).tolist():
@@ -151,11 +190,11 @@ def main_text(html: str | None) -> str:
     declared = [n for n in mass if parser.names[n] in ("article", "main")]
     if declared:  # a declared container with the most dense text, the innermost of equals
         region = max(declared, key=lambda n: (mass[n], n))
-    else:  # the innermost container with nearly all dense text
-        region = max((n for n in mass if mass[n] >= 0.8 * total), default=0)
+    else:  # the innermost container with all dense text
+        region = max((n for n in mass if mass[n] == total), default=0)
     whole = region == 0 or parser.names[region] in ("body", "html")
-    kept = [text for k, (text, _, skip, path) in enumerate(lines) if text and not skip and (region == 0 or region in path) and (not whole or dense[k] or level[k] >= level.mean() / 2)]
-    return " ".join(kept)
+    kept = [k for k, (text, _, skip, path) in enumerate(lines) if text and not skip and (region == 0 or region in path) and (not whole or dense[k] or level[k] >= level.mean() / 2)]
+    return "".join(("" if not at or parser.glued[k] and kept[at - 1] == k - 1 else " ") + lines[k][0] for at, k in enumerate(kept))
 
 
 def extract(html: Column) -> Column:

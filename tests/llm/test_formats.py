@@ -78,6 +78,25 @@ def test_html_edges(html, want):
     assert html_text.main_text(html) == want
 
 
+LONG = "A paragraph with a fair number of words in it, so that it counts as running text of the article."
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<body><div class=content><div class=intro><p>{LONG}</div><div class=body>" + f"<p>{LONG}" * 6 + "</div></div><footer>x</footer>", " ".join([LONG] * 7)),
+        (f"<div><p>{LONG}<blockquote>" + f"<p>{LONG}" * 5 + "</blockquote></div>", " ".join([LONG] * 6)),
+        (f"<article><p>{LONG}<section id=discussion><h2 id=related-work>Related work</h2><p>{LONG}</section></article>", f"{LONG} Related work {LONG}"),
+        (f"<article><p>{LONG}<div class=related><ul><li><a href=/a>One other page</a><li><a href=/b>And another page</a></ul></div></article>", LONG),
+        (f"<article><p>{LONG}<div class=ad><p>{LONG}</div></article>", LONG),
+        (f"<article><p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds. {LONG}</article>", f"Where x=1 holds. {LONG}"),
+        (f'<article><p>{LONG} un<span class="alert">questionably so, and without a doubt</span>ed.</article>', f"{LONG} unquestionably so, and without a doubted."),
+    ],
+)
+def test_html_keeps_the_whole_article(html, want):
+    assert html_text.main_text(html) == want
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<p>caf&eacute;</p>", "clash"), (2, None, None, "clash"), (3, "u", "<p>" + "word " * 20_000, "clash")], "page_id bigint, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract_main_text(df).collect()}
