@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import audit, entities as E, evaluate as EV, transform as TR, verify as VG
+from ..operators import audit, detect, entities as E, evaluate as EV, transform as TR, verify as VG
 from ..streaming import flows
 from . import base as B
 from .base import duck, fixture, query, table
@@ -510,4 +510,5 @@ def verification_gates(spark, d):
     """All gates of text over a small output with planted faults."""
     k, t = known(spark, d), texts(spark, d)
     spans = k.join(t.select("doc_id", "text"), "doc_id").withColumn("char_start", F.expr("locate(plaintext, text) - 1")).withColumn("char_end", F.col("char_start") + F.length("plaintext")).drop("text")
-    return VG.run(t, k, k, spans, level=2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return VG.run(t, k, k, spans, level=2, rescan=lambda x: detect.mentions(x.select("doc_id", F.col("protected").alias("text"))))

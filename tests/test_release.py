@@ -106,3 +106,18 @@ def test_cells_spans(spark):
     cells = spark.createDataFrame([(1, 0, "a", "hello", 3, 8), (1, 0, "b", "world", 12, 17)], "doc_id bigint, record int, column string, value string, char_start bigint, char_end bigint")
     spans = spark.createDataFrame([(1, 0, 12, 17, "X"), (1, 0, 7, 13, "Y")], "doc_id bigint, record int, char_start bigint, char_end bigint, replacement string")
     assert {r.column: r.value for r in TR.sanitize_cells(cells, spans).collect()} == {"a": "hello", "b": "X"}
+
+
+def test_registered_gates_all_run(spark):
+    from pathlib import Path
+
+    import pytest
+
+    from hushgrid.plans import base, catalog
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("no tables")
+    base.importable(spark)
+    got = {(r.name, r.status) for r in catalog.QUERIES["verification_gates"](spark, str(data)).collect()}
+    assert not [g for g in got if g[1] == "INCONCLUSIVE"] and {s for n, s in got if n == "direct_identifier_rescan"} == {"PASS", "FAIL"}
