@@ -48,10 +48,15 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 class Index:
-    """Inverted index with block maxima over the items (item_id, text); items without a word are left out."""
+    """Inverted index with block maxima over the distinct items (item_id, text); those without a word are left out.
 
-    def __init__(self, items: list[tuple[int, str | None]], share: float):
-        self.items = {i: t for i, t in items if tokens(t)}
+    Items of one id, or without an id, are each found by their own text; inside, an item is its place in ``ids``.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str | None]], share: float):
+        distinct = [(i, t) for i, t in dict.fromkeys(items) if tokens(t)]
+        self.ids = [i for i, _ in distinct]
+        self.items = {k: t for k, (_, t) in enumerate(distinct)}
         parts = [(i, w[k : k + STEP]) for i, t in self.items.items() for w in [tokens(t)] for k in range(0, len(w), STEP)]
         n = len(parts)
         df = Counter(t for _, w in parts for t in set(w))
@@ -122,11 +127,11 @@ class Index:
         for n in {len(g) for i in found for grams in self.checks[i] for g in grams if len(g) != NGRAM}:
             have.update(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
         out = []
-        for item in sorted(found):
+        for item in sorted(found, key=lambda k: (self.ids[k] is not None, self.ids[k] or 0, k)):
             q, a, whole = (sum(g in have for g in grams) / len(grams) for grams in self.checks[item])
             if whole >= overlap and q >= overlap and a >= 0.5:
                 score, n = found[item]
-                out.append({"item_id": item, "score": round(score, 6), "question_overlap": q, "answer_overlap": a, "overlap": whole, "passages": n})
+                out.append({"item_id": self.ids[item], "score": round(score, 6), "question_overlap": q, "answer_overlap": a, "overlap": whole, "passages": n})
         return out
 
 
@@ -154,7 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, over
 
     An item is retrieved by a passage whose BM25 score reaches ``share`` of the item's own, and verified if
     ``overlap`` of its and of its question's 5-grams, and half of its answer's, are in the text. Null and
-    empty texts and items leak nothing; rows with equal ids are all searched, equal items all reported once a
+    empty texts and items leak nothing; rows with equal ids are all searched, equal items (id and text) reported once a
     row; empty tables give no rows.
     """
     common.small_batches(docs.sparkSession)

@@ -114,3 +114,9 @@ def test_bounds_never_cut_a_passing_item():
                 if score >= index.needed[part] + 1e-9:
                     want.add(int(index.owner[part]))
         assert want <= set(got)
+
+
+def test_items_of_one_id_or_none_are_each_found():
+    items = [(7, "What flows past the old northern stone market in winter? The river Wend flows there."), (7, "Who wrote the long letter about the harbour wall? It was the young clerk of the town."), (None, "Which road leads over the hill to the garden by the lake? It is the narrow mill road.")]
+    index = DC.Index([*items, items[0]], 0.5)
+    assert [[x["item_id"] for x in index.leaks(f"before {t} after", 0.8)] for _, t in items] == [[7], [7], [None]]
