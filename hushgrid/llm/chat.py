@@ -131,12 +131,11 @@ def format_chats(records: DataFrame) -> DataFrame:
     roles count as empty. A record of an unknown layout, or that is no JSON, gives one row with that layout and
     a null piece. Repeated rows are all kept; an empty table gives no rows; other columns are not read.
     """
-    common.small_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapper = Mapper()
         kind = pa.schema([("conv_id", pa.int64()), ("ord", pa.int64()), ("k", pa.int32()), ("layout", pa.string()), ("piece", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
-        for b in batches:
+        for b in (part for whole in batches for part in common.parts(whole, whole.column("record"))):
             rows = []
             for conv, at, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "ord", "record"))):
                 layout, turns = mapper.turns(text)

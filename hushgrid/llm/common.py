@@ -5,23 +5,50 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts run to hundreds of kB, so a batch stays in the tens of MB.
-BATCH_ROWS = 512
+#: Rows and bytes that a Python stage takes at once. Spark bounds its own batches by bytes; these parts of them are what becomes Python objects.
+PART_ROWS, PART_BYTES = 512, 4 << 20
 
+_made: list[str] = []
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds, for the Python stages planned from now on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def parts(batch, values: pa.Array, rows: int = PART_ROWS, size: int = PART_BYTES) -> Iterator:
+    """``batch`` (a record batch or an array as long as ``values``) in slices: as many rows as hold ``size`` bytes of ``values``, one at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < len(values):
+        stop = max(at + 1, min(at + rows, len(values), int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, stop - at)
+        at, before = stop, int(ends[stop - 1])
+
+
+def by_parts(fn: Callable[..., pa.Array], rows: int = PART_ROWS) -> Callable[..., pa.Array]:
+    """An Arrow function of columns, the first of them texts or bytes, run on slices of them."""
+
+    @wraps(fn)
+    def run(*columns: pa.Array) -> pa.Array:
+        if not len(columns[0]):
+            return fn(*columns)
+        table = pa.record_batch(list(columns), names=[str(k) for k in range(len(columns))])
+        return pa.concat_arrays([fn(*part.columns) for part in parts(table, columns[0], rows)])
+
+    return run
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='hushgrid-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -30,8 +57,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for a table in the shared folder; ``drop_scratch`` removes them all."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what it took to make is not done twice, nor lost with an executor."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove the tables that operators of this process have stored; call it when their results have been used. Returns how many."""
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

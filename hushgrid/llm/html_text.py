@@ -273,7 +273,7 @@ def main_text(html: str | None) -> str:
 def extract(html: Column) -> Column:
     @F.arrow_udf("string")
     def run(pages: pa.Array) -> pa.Array:
-        return pa.array([main_text(p) for p in pages.to_pylist()], type=pa.string())
+        return common.by_parts(lambda part: pa.array([main_text(p) for p in part.to_pylist()], type=pa.string()))(pages)
 
     return run(html)
 
@@ -284,7 +284,6 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     Null and empty pages give an empty text. Broken markup is read as far as it goes. Repeated rows give equal
     results; an empty table stays empty.
     """
-    common.small_batches(pages.sparkSession)
     return pages.withColumn("text", extract(F.col(html_col))).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -98,52 +98,47 @@ class Model:
         return self.langs[best], float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs_per_lang: int = 1_000, max_words: int = 50_000, max_grams: int = 60_000) -> Model:
-    """Fit on a bounded sample of labelled rows: about ``max_docs_per_lang`` of each language, by a hash of the text.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs_per_lang: int = 1_000, max_words: int = 50_000, max_grams: int = 60_000, max_langs: int = 500) -> Model:
+    """Fit on a bounded sample of labelled rows: of each language, at most ``max_docs_per_lang`` distinct texts, by a hash of the text.
 
-    Rows with a null text or language are not learned from. Counting is done on the executors; the driver gets the
-    at most ``max_words`` most frequent words that occur twice or more, and at most ``max_grams`` n-grams over all
-    lengths. Without a labelled row the model knows no language and says ``und``.
+    Rows with a null text or language are not learned from; of more than ``max_langs`` languages, those with the most
+    rows are. Counting is done on the executors; the driver gets the ``max_words`` most frequent words and the
+    ``max_grams`` / ``MAX_GRAM`` most frequent n-grams of each length (of equal counts the first in order), never more.
+    Without a labelled row the model knows no language and says ``und``.
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], [], ({}, np.zeros((0, 0))), ({}, np.zeros((0, 0))))
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, max_docs_per_lang / n))])
-    sample = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")) * 1_000_000)
+    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 2 * max_docs_per_lang / n))])
+    place = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
+    some = labelled.filter(place < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)) * 1_000_000)
+    # copies count once; about twice the bound is left, of which the first by hash are taken
+    once = some.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000)), "h"))
+    sample = once.withColumn("n", first).filter(F.col("n") <= max_docs_per_lang).select("lang", "text").repartition(64, F.xxhash64("text"))
     kinds = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("key", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found: dict[tuple[str, int], Counter] = {}
-            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
-                for w, n in words_of(text).items():
-                    found.setdefault((lang, 0), Counter())[w] += n
-                    for g in grams_of(w):
-                        found.setdefault((lang, len(g)), Counter())[g] += n
-            for (lang, size), c in found.items():  # size 0: whole words
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array([size] * len(c), pa.int32()), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], schema=kinds)
+        for whole in batches:
+            for b in common.parts(whole, whole.column("text")):
+                found: dict[tuple[str, int], Counter] = {}
+                for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
+                    for w, n in words_of(text).items():
+                        found.setdefault((lang, 0), Counter())[w] += n
+                        for g in grams_of(w):
+                            found.setdefault((lang, len(g)), Counter())[g] += n
+                for (lang, size), c in found.items():  # size 0: whole words
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array([size] * len(c), pa.int32()), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], schema=kinds)
 
     counts = sample.mapInArrow(count, "lang string, size int, key string, n bigint").groupBy("size", "key", "lang").agg(F.sum("n").alias("n"))
     per_lang = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{k}") for k, lang in enumerate(langs)]
-    path = common.scratch(spark, "language-counts")
-    counts.groupBy("size", "key").agg(F.sum("n").alias("n"), *per_lang).filter("n > 1 or size = 1").write.parquet(path)
-    keys = spark.read.parquet(path)
+    keys = common.stored(counts.groupBy("size", "key").agg(F.sum("n").alias("n"), *per_lang), "language-counts")
     tables = {}
     for size in range(MAX_GRAM + 1):
-        own = keys.filter(F.col("size") == size)
-        # the least count at which no more than the bound are left, from the histogram of counts (rare counts in one bin)
         most = max_grams // MAX_GRAM if size else max_words
-        capped = F.least("n", F.lit(2_000))
-        left, least = 0, 2_000
-        for r in own.groupBy(capped.alias("n")).count().orderBy(F.desc("n")).collect():
-            if left + r["count"] > most:
-                break
-            left, least = left + r["count"], r["n"]
-        rows = own.filter(capped >= least).orderBy("key").toPandas()
+        rows = keys.filter(F.col("size") == size).orderBy(F.desc("n"), "key").limit(most).toPandas().sort_values("key")
         matrix = rows[[f"n{k}" for k in range(len(langs))]].to_numpy(dtype=float)
         tables[size] = (rows["key"].tolist(), np.log((matrix + 0.5) / (matrix.sum(axis=0) + 0.5 * max(1, len(matrix)))))
     grams = [k for size in range(1, MAX_GRAM + 1) for k in tables[size][0]]
@@ -158,7 +153,10 @@ def identify(model: Model, text: Column) -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def run(texts: pa.Array) -> pa.Array:
-        got = [shared.predict(t) for t in texts.to_pylist()]
+        return common.by_parts(one)(texts)
+
+    def one(part: pa.Array) -> pa.Array:
+        got = [shared.predict(t) for t in part.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], type=pa.string()), pa.array([g[1] for g in got], type=pa.float64())], names=["lang_pred", "score"])
 
     return run(text)
@@ -170,9 +168,8 @@ def predict_language(docs: DataFrame, model: Model, text_col: str = "text") -> D
     Null, empty and letterless texts give ``und`` with score 0. Ties go to the language first by name.
     Repeated rows each get the same answer; an empty table stays empty.
     """
-    common.small_batches(docs.sparkSession)
-    out = docs.withColumn("_language", identify(model, F.col(text_col)))
-    return out.withColumns({"lang_pred": F.col("_language.lang_pred"), "score": F.col("_language.score")}).drop("_language")
+    found = identify(model, F.col(text_col))
+    return docs.withColumns({"lang_pred": found["lang_pred"], "score": found["score"]})
 
 
 def learnable(docs: DataFrame) -> DataFrame:
@@ -187,9 +184,7 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str, min_score: float = 0.5) -> DataFrame:
-    """Keep the documents whose language is known: those of ``und`` or a posterior under ``min_score`` go."""
+    """Keep the documents whose language is known: those of ``und`` or a posterior under ``min_score`` go; columns of any name stay as they are."""
     model = train(learnable(common.table(spark, sf_dir, "documents")))
-    kept = docs.columns
-    common.small_batches(spark)
-    out = docs.withColumn("_language", identify(model, F.col("text")))
-    return out.filter((F.col("_language.lang_pred") != NONE) & (F.col("_language.score") >= min_score)).select(*kept)
+    found = identify(model, F.col("text"))
+    return docs.filter((found["lang_pred"] != NONE) & (found["score"] >= min_score))

@@ -98,7 +98,6 @@ def pack(docs: DataFrame, length_col: str = "n_tokens", id_col: str = "doc_id",
 def pack_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", **options) -> DataFrame:
     """Count the tokens of ``docs`` (doc_id, text), store the counts in the shared folder, and pack by them."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     kept = common.scratch(spark, "lengths")
     docs.select("doc_id", token_counts.token_count(F.col("text"), vocabulary).alias("n_tokens")).write.parquet(kept)
     return pack(spark.read.parquet(kept), **options)

@@ -21,10 +21,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, shingles
+from .groups import components, least_of_groups
 
 SEED, WORDS, BITS = 42, 4, 64
 #: Fingerprints of one anchor that a task compares at once.
@@ -55,7 +56,7 @@ def simhash(text: Column) -> Column:
 
     @F.arrow_udf("bigint")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], dtype=np.uint64).view(np.int64))
+        return common.by_parts(lambda part: pa.array(np.array([fingerprint(t) for t in part.to_pylist()], dtype=np.uint64).view(np.int64)))(texts)
 
     return run(text)
 
@@ -167,34 +168,6 @@ def near_links(prints: DataFrame, threshold: int = 4, tile: int = TILE) -> DataF
     return links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): for each node of ``links`` (a, b), the least node that it reaches.
-
-    Alternates joining every node's larger neighbours to its least one and its smaller neighbours to the
-    least; the number of rounds grows with the logarithm of the longest path. Each round is stored in the shared folder.
-    """
-    common.shared_dir(spark)
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    for _ in range(rounds):
-        # large star: each node's larger neighbours go to the least of the node and its neighbours
-        both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        # small star: each node's smaller neighbours and itself go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u")
-        small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.toDF("u", "v")).filter("u <> v").distinct()
-        new = small.checkpoint()
-        # at the end every node has one edge, to its root, and no root has one
-        moved = new.groupBy("u").count().filter("count > 1").limit(1).count() or new.select(F.col("v").alias("u")).join(new, "u", "left_semi").limit(1).count()
-        edges = new
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"components not settled after {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable by links) for each row.
 
@@ -203,19 +176,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     where component_id is null. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
-    kept = common.scratch(spark, "fingerprints")
-    docs.select(F.col(id_col).cast("long").alias("doc_id"), simhash(F.col(text_col)).alias("fp")).write.parquet(kept)
-    rows = spark.read.parquet(kept)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    firsts = common.scratch(spark, "distinct-fingerprints")
-    rows.groupBy("fp").agg(F.min("doc_id").alias("first")).write.parquet(firsts)
-    prints = spark.read.parquet(firsts)
+    rows = common.stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), simhash(F.col(text_col)).alias("fp")), "fingerprints")
+    prints = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     # components over fingerprints; their order does not matter, so each gets the least document id afterwards
-    reached = components(spark, near_links(prints, threshold))
-    roots = prints.join(reached, prints.fp == reached.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = roots.join(least, "root").select("fp", "component_id")
+    labels = least_of_groups(prints, components(spark, near_links(prints, threshold)))
     out = rows.join(labels, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -226,17 +190,19 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: Fractio
     Of rows with equal ids the one with the least text stays. Rows without an id stay only where the whole
     group has none, one of them.
     """
-    found = shingles.near_duplicates(docs, components, similarity)
-    path = common.scratch(spark, "components")
-    found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().write.parquet(path)
-    kept = spark.read.parquet(path).withColumnRenamed("doc_id", "_kept")
+    found = shingles.near_duplicates(docs, similarity)
+    kept = common.stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "components")
+    d = docs.alias("d")
+    same = lambda right: F.col("d.doc_id").eqNullSafe(F.col(f"{right}.doc_id"))
     # merged at every size: the ids that stay grow with the corpus, so they are never broadcast
-    out = docs.join(kept.select("_kept").hint("merge"), docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
-    again = kept.filter("count > 1").select("_kept")
+    out = d.join(kept.alias("k").hint("merge"), same("k"), "left_semi")
+    again = kept.filter("n > 1").select("doc_id")
     if again.limit(1).count():
-        first = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-        once = out.join(again, out.doc_id.eqNullSafe(F.col("_kept")), "left_semi").withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
-        out = out.join(again, out.doc_id.eqNullSafe(F.col("_kept")), "left_anti").unionByName(once)
+        # rows of one id: the whole row's hash settles equal texts, so columns of any type may follow
+        names = [F.col(f"`{c}`") for c in docs.columns]
+        whole = F.struct(F.col("text"), F.xxhash64(F.to_json(F.struct(*names))).alias("h"))
+        once = out.alias("d").join(again.alias("a"), same("a"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), whole).alias("row")).select("row.*")
+        out = out.alias("d").join(again.alias("a"), same("a"), "left_anti").unionByName(once)
     return out
 
 

@@ -421,7 +421,7 @@ def token_count(text: Column, vocabulary: str = "byte_bpe_50k.json", folder: str
 
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array(count_tokens(texts.to_pylist(), common.tokenizer_path(vocabulary, folder)), type=pa.int64())
+        return common.by_parts(lambda part: pa.array(count_tokens(part.to_pylist(), common.tokenizer_path(vocabulary, folder)), type=pa.int64()))(texts)
 
     return count(text)
 
@@ -432,7 +432,6 @@ def token_counts(docs: DataFrame, text_col: str = "text", limit: int = 1024, **w
     Null texts count as empty: 0 bytes, 0 tokens. An empty table gives an empty table. Repeated rows are
     counted each.
     """
-    common.small_batches(docs.sparkSession)
     n = token_count(F.col(text_col), **where)
     out = docs.withColumns({"n_bytes": F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long"), "n_tokens": n})
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from . import common, token_counts
 
 
+#: Bytes of the longest piece that stays cached.
+LONGEST = 1 << 16
+
+
 class Pieces(dict):
     """Piece (bytes) -> its number. A new one gets the next number and waits in ``fresh`` to be encoded."""
 
@@ -34,10 +38,11 @@ class Encoder:
     """Ids as the tokenizers library gives them, each distinct piece encoded once while it stays cached.
 
     Encoding a text is encoding its pre-tokenizer pieces one after the other. Texts that hold a special
-    string go to the library whole. Ids of all cached pieces lie end to end in one pool.
+    string go to the library whole. Ids of all cached pieces lie end to end in one pool. The cache is emptied
+    beyond ``max_cached`` pieces or ``max_bytes`` of them, and pieces of more than ``LONGEST`` bytes are not kept in it.
     """
 
-    def __init__(self, path: str, max_cached: int = 800_000):
+    def __init__(self, path: str, max_cached: int = 800_000, max_bytes: int = 32 << 20):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -45,12 +50,13 @@ class Encoder:
         self.single = Tokenizer.from_file(path)  # for what is one piece already: bytes to characters, no splitting
         self.single.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.max_cached = max_cached
+        self.max_cached, self.max_bytes = max_cached, max_bytes
         self.reset()
 
     def reset(self) -> None:
         self.numbers = Pieces()
         self.numbers.fresh = []
+        self.bytes, self.long = 0, False
         self.pool = np.empty(1 << 16, dtype=np.int32)
         self.first = np.zeros(1, dtype=np.int64)  # where each piece's ids begin in the pool; one more than pieces
 
@@ -67,6 +73,9 @@ class Encoder:
             ids.append(np.asarray(got.ids, dtype=np.int32))
             sizes.append(np.bincount(np.asarray(got.word_ids, dtype=np.int64), minlength=len(part)))
         if fresh:
+            sizes_ = list(map(len, fresh))
+            self.bytes += sum(sizes_)
+            self.long = self.long or max(sizes_) > LONGEST
             new = np.concatenate(ids)
             begin = int(self.first[-1])
             while begin + len(new) > len(self.pool):
@@ -84,7 +93,7 @@ class Encoder:
         real = where != (first + lengths)[owner]
         joined = ("\0".join(plain) + "\0").encode("utf-8")
         starts, ends = byte[real].tolist(), np.append(byte[1:], len(joined))[real].tolist()
-        if len(self.numbers) > self.max_cached:
+        if len(self.numbers) > self.max_cached or self.bytes > self.max_bytes or self.long:
             self.reset()
         number = self.numbers.__getitem__
         index = np.fromiter(map(number, map(joined.__getitem__, map(slice, starts, ends))), dtype=np.int64, count=len(starts))
@@ -121,7 +130,6 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
     first. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
     ordered = docs.select("doc_id", text.alias("text")).repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
@@ -129,7 +137,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(common.tokenizer_path(vocabulary, folder))
         part, row = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in (part for whole in batches for part in common.parts(whole, whole.column("text"))):
             ids, counts = e.encode(b.column("text").to_pylist(), end_id)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             k = b.num_rows
@@ -146,7 +154,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
 
 def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """The stored rows; with ``doc_ids`` only those, found by statistics and Bloom filters."""
-    rows = spark.read.schema("doc_id bigint, part int, row bigint, tokens array<int>").orc(path)
+    rows = spark.read.orc(path)
     return rows if doc_ids is None else rows.filter(F.col("doc_id").isin(doc_ids))
 
 
@@ -155,7 +163,6 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
     ``start`` is made of two sums: of whole ranges before (one row for each) and of rows before in the range.
     """
-    common.small_batches(spark)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,7 +173,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("row"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, type=pa.int64())], names=["doc_id", "part", "row", "n_tokens", "ids_crc32"])
 
     kept = common.scratch(spark, "token-digests")
-    read(spark, path).mapInArrow(digest, "doc_id bigint, part int, row bigint, n_tokens bigint, ids_crc32 bigint").write.parquet(kept)
+    stored = read(spark, path)
+    stored.mapInArrow(digest, f"doc_id {stored.schema['doc_id'].dataType.simpleString()}, part int, row bigint, n_tokens bigint, ids_crc32 bigint").write.parquet(kept)
     rows = spark.read.parquet(kept)
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("all"))  # a row for each file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -133,10 +133,27 @@ def test_segments():
     assert span == (10 * step, 24 * step) and media.segments(np.zeros((5, 4))) == []
 
 
+def test_log_mel_against_its_definition():
+    x = np.random.default_rng(3).normal(size=1_000) / 4
+    got = media.log_mel(x)
+    rate, n = media.RATE * media.UP // media.DOWN, media.FRAME
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    points = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, mel(rate / 2), media.BANDS + 2)]
+    padded = np.concatenate([x, np.zeros(2 * n)])
+    for k in range(len(got)):
+        frame = padded[k * media.HOP : k * media.HOP + n] * np.hanning(n)
+        power = [abs(sum(frame * np.exp(-2j * np.pi * b * np.arange(n) / n))) ** 2 for b in range(n // 2 + 1)]
+        for band in range(media.BANDS):
+            low, peak, high = points[band : band + 3]
+            total = sum(p * max(0, min((b * rate / n - low) / (peak - low), (high - b * rate / n) / (high - peak))) for b, p in enumerate(power))
+            assert abs(float(got[k, band]) - np.log(total + 1e-6)) <= 0.5 / media.GRID + 1e-6
+    assert len(got) == -(-(len(x) - n) // media.HOP) + 1 and got.dtype == np.float16
+
+
 def test_media_frame(spark, docs, rows, nothing, tmp_path):
     stored = spark.read.parquet(media.store(docs, f"file://{tmp_path}/m"))
-    featured = media.audio_features(stored)
-    got = media.digests(featured).collect()
+    featured = spark.read.parquet(media.store_features(stored, f"file://{tmp_path}/f"))
+    got = featured.withColumn("feature", media.feature_text(featured.tensors, featured.segments)).collect()
     assert len(got) == len(rows)
     want = {}
     for i, t, *_ in rows:
@@ -144,6 +161,10 @@ def test_media_frame(spark, docs, rows, nothing, tmp_path):
         want.setdefault(i, set()).add((n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), hashlib.sha256(media.to_wav(data)).hexdigest()))
     assert all((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_sha256) in want[r.doc_id] for r in got)
     assert len({r.feature for r in got if r.doc_id == 104}) == 1
-    with pa.ipc.open_stream(featured.first().tensors) as s:
+    with pa.ipc.open_stream(got[0].tensors) as s:
         assert isinstance(s.schema.field("tensor").type, pa.FixedShapeTensorType)
-    assert media.audio_features(spark.read.parquet(media.store(nothing, f"file://{tmp_path}/n"))).count() == 0
+        (first, *_) = s.read_all().to_pylist()
+    assert first["start_s"] == 0 and first["end_s"] == first["frames"] * media.HOP / (media.RATE * media.UP // media.DOWN)
+    assert spark.read.parquet(media.store_features(spark.read.parquet(media.store(nothing, f"file://{tmp_path}/n")), f"file://{tmp_path}/nf")).count() == 0
+    gone = stored.limit(1).selectExpr("doc_id", "n_bytes", "cast(null as binary) AS media")
+    assert spark.read.parquet(media.store_features(gone, f"file://{tmp_path}/g")).first().tensors is None

@@ -29,15 +29,13 @@ def test_pipeline(spark, tmp_path):
     # the same decisions one document at a time
     q = quality.fitted(spark, d)
     lid = language_id.train(language_id.learnable(spark.read.parquet(f"{d}/documents.parquet")))
-    import numpy as np
-
-    left = [(k, t) for k, t in texts if q.score(np.array([quality.features(t)]))[0] >= 0.5]
+    left = [(k, t) for k, t in texts if q.score([quality.features(t)])[0] >= 0.5]
     left = [(k, t) for k, t in left if lid.predict(t)[0] != "und" and lid.predict(t)[1] >= 0.5]
     fps = [simhash.fingerprint(t) for _, t in left]
     comp = plain_components(fps, [k for k, _ in left])
     left = sorted({kt for kt, c in zip(left, comp) if kt[0] == c})
     index = DC.Index([(1, item)], 0.5)
-    left = [(k, t) for k, t in left if not index.leaks(t, 0.8)]
+    left = [(k, t) for k, t in left if not DC.leaks([index], [t], 0.8)[0]]
     n = token_counts.count_tokens([t for _, t in left], tokenizer_path("byte_bpe_50k.json"))
     assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((k, m) for (k, _), m in zip(left, n))
     kept = {r.doc_id for r in got}
