@@ -39,6 +39,11 @@ def test_chat_piece_round_trip(role, text):
         ({"role": "user", "text": None, "turn": 3}, "turn", [("user", "")]),
         ({"odd": 1}, "unknown", []),
         ([1], "unknown", []),
+        ({"messages": [{"role": "user", "content": "a"}, "loose", None]}, "messages", [("user", "a"), ("", "loose"), ("", "")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}]}, "messages", [("user", "ab")]),
+        ({"messages": [{"role": "user", "content": [{"type": "image", "url": "u"}]}]}, "messages", [("user", '[{"type": "image", "url": "u"}]')]),
+        ({"messages": [{"role": "user", "content": "a"}], "prompt": "p", "completion": "c"}, "completion+messages", [("user", "p"), ("assistant", "c"), ("user", "a")]),
+        ({"prompt": "p", "completion": "c", "response": "r"}, "completion+response", [("user", "p"), ("assistant", "c"), ("assistant", "r")]),
     ],
 )
 def test_layouts(record, layout, turns):
@@ -51,7 +56,7 @@ def test_chat_frame(spark):
     rows = [(1, 1, turn("assistant", "</s>b\\")), (1, 0, turn("user", "a")), (2, 0, turn(None, None)), (3, 0, "{broken"), (None, 0, turn("user", "z")), (1, 2, turn("assistant", "c")), (1, 2, turn("assistant", "c"))]
     formatted = chat.format_chats(spark.createDataFrame(rows, schema))
     got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
-    assert set(got) == {1, 2, None}
+    assert set(got) == {1, 2, 3, None} and got[3].n_turns == 0 and got[3].n_unmapped == 1 and got[1].n_unmapped == 0
     one = got[1]
     assert one.n_turns == 4 and one.loss_chars == len("</s>b\\cc")
     assert one.loss_sha256 == hashlib.sha256(b"</s>b\\cc").hexdigest()
