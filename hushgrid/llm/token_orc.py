@@ -9,6 +9,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -91,12 +92,11 @@ class Encoder:
         lengths = np.fromiter(map(len, plain), dtype=np.int64, count=len(plain))
         first = np.cumsum(lengths + 1) - lengths - 1
         real = where != (first + lengths)[owner]
-        joined = ("\0".join(plain) + "\0").encode("utf-8")
-        starts, ends = byte[real].tolist(), np.append(byte[1:], len(joined))[real].tolist()
+        joined = np.frombuffer(("\0".join(plain) + "\0").encode("utf-8"), dtype=np.uint8)
+        pieces = np.insert(joined, byte, 0xFF).tobytes().split(b"\xff")[1:]  # a byte that UTF-8 never has
         if len(self.numbers) > self.max_cached or self.bytes > self.max_bytes or self.long:
             self.reset()
-        number = self.numbers.__getitem__
-        index = np.fromiter(map(number, map(joined.__getitem__, map(slice, starts, ends))), dtype=np.int64, count=len(starts))
+        index = np.fromiter(map(self.numbers.__getitem__, compress(pieces, real.tolist())), dtype=np.int64, count=int(real.sum()))
         self.learn()
         begin, sizes = self.first[index], self.first[index + 1] - self.first[index]
         counts = np.bincount(owner[real], weights=sizes, minlength=len(texts)).astype(np.int64)
