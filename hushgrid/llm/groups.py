@@ -7,24 +7,33 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Parts that the rows of one hub or group are split into, wherever they are joined with the one row that it has.
+SALTS = 8
+
+
+def join_split(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
+    """``many`` joined with ``one`` (a row for each ``key``): rows of one key are dealt by ``by`` to ``SALTS`` tasks."""
+    many = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.join(one, [key, "_salt"]).drop("_salt")
+
 
 def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): for each node of ``links`` (a, b), the least node that it reaches.
+    """(node, root): for each node of ``links`` (a, b), the least node that it reaches; roots themselves are left out.
 
     Alternates joining every node's larger neighbours to its least one and its smaller neighbours to the
     least; the number of rounds grows with the logarithm of the longest path. Each round is stored in the shared
-    folder, and so is the one row for each node that its neighbours are joined with: both sides of these joins then
-    come straight from a shuffle, and a hub's many rows are split among tasks.
+    folder. A hub's neighbours are split among tasks.
     """
     edges = common.stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     for _ in range(rounds):
         # large star: each node's larger neighbours go to the least of the node and its neighbours
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        least = common.stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = common.stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-star")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = join_split(both.filter("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: each node's smaller neighbours and itself go to the least of them
-        low = common.stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        pairs = large.join(low, "u")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        pairs = join_split(large, low, "u", "v")
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.toDF("u", "v")).filter("u <> v").distinct()
         edges = common.stored(small, "edges")
         # at the end every node has one edge, to its root, and no root has one
@@ -36,8 +45,10 @@ def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataF
 def least_of_groups(prints: DataFrame, reached: DataFrame) -> DataFrame:
     """(fp, component_id): for each of ``prints`` (fp, first) the least ``first`` of its group; ``reached`` (node, root) tells groups.
 
-    The least of each group is stored before it is joined back, so that a large group's rows are split among tasks.
+    Only those that a link joins are grouped, and the rows of a group are split among tasks.
     """
-    roots = prints.join(reached, prints.fp == reached.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = common.stored(roots.groupBy("root").agg(F.min("first").alias("component_id")), "least-of-groups")
-    return common.stored(roots.join(least, "root").select("fp", "component_id"), "groups")
+    members = reached.select(F.col("node").alias("fp"), "root").union(reached.select(F.col("root").alias("fp"), "root").distinct())
+    linked = prints.join(members, "fp")
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    labels = join_split(linked, least, "root", "fp").select("fp", "component_id")
+    return prints.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
