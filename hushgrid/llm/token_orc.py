@@ -9,7 +9,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -92,11 +91,14 @@ class Encoder:
         lengths = np.fromiter(map(len, plain), dtype=np.int64, count=len(plain))
         first = np.cumsum(lengths + 1) - lengths - 1
         real = where != (first + lengths)[owner]
-        joined = np.frombuffer(("\0".join(plain) + "\0").encode("utf-8"), dtype=np.uint8)
-        pieces = np.insert(joined, byte, 0xFF).tobytes().split(b"\xff")[1:]  # a byte that UTF-8 never has
+        # pieces lie end to end, so they are an Arrow column without a copy; only distinct ones become Python objects
+        joined = ("\0".join(plain) + "\0").encode("utf-8")
+        offsets = np.append(byte, len(joined)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(byte), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
         if len(self.numbers) > self.max_cached or self.bytes > self.max_bytes or self.long:
             self.reset()
-        index = np.fromiter(map(self.numbers.__getitem__, compress(pieces, real.tolist())), dtype=np.int64, count=int(real.sum()))
+        numbers = np.fromiter(map(self.numbers.__getitem__, pieces.dictionary.to_pylist()), dtype=np.int64, count=len(pieces.dictionary))
+        index = numbers[pieces.indices.to_numpy()[real]]
         self.learn()
         begin, sizes = self.first[index], self.first[index + 1] - self.first[index]
         counts = np.bincount(owner[real], weights=sizes, minlength=len(texts)).astype(np.int64)
@@ -137,7 +139,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(common.tokenizer_path(vocabulary, folder))
         part, row = TaskContext.get().partitionId(), 0
-        for b in (part for whole in batches for part in common.parts(whole, whole.column("text"))):
+        for b in (part for whole in batches for part in common.parts(whole, whole.column("text"), 1024)):
             ids, counts = e.encode(b.column("text").to_pylist(), end_id)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             k = b.num_rows
