@@ -242,14 +242,6 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x))))
 
 
-def source_variants(entity_type: Column, value: Column) -> Column:
-    """Forms of a value under which it could still be found, the longest first; five characters at least but for the value itself."""
-    bare = F.trim(F.regexp_replace(value, r"(?i)[,\s]+(?:private limited|pvt\.? ltd\.?|limited|ltd\.?|llp|inc\.?|llc|corp\.?|corporation)\s*$", ""))
-    first = F.trim(F.substring_index(value, ",", 1))
-    made = F.array(value, F.when((entity_type == "EMPLOYER") & (F.length(bare) >= 5), bare), F.when((entity_type == "LOCALITY") & value.contains(",") & (F.length(first) >= 5), first))
-    return F.array_distinct(F.array_compact(made))
-
-
 def iou(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     """Overlap of two character intervals over their union."""
     common = F.greatest(F.lit(0), F.least(a[1], b[1]) - F.greatest(a[0], b[0]))

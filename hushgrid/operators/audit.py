@@ -123,3 +123,8 @@ def receipts(jobs: DataFrame, counts: DataFrame, old: DataFrame) -> DataFrame:
     """Receipts of destroyed jobs; a job that has one keeps it."""
     new = jobs.join(counts, "job_id").select("job_id", "destroyed_at", "deleted", F.sha2(F.concat_ws("|", "job_id", F.col("destroyed_at").cast("string"), F.col("deleted").cast("string")), 256).alias("receipt_sha256"))
     return old.unionByName(new.join(old.select("job_id"), "job_id", "left_anti"))
+
+
+def last_events(ledger: DataFrame) -> DataFrame:
+    """job_id, sequence, event_type of each job's last event."""
+    return ledger.groupBy("job_id").agg(F.max("sequence").alias("sequence"), F.max_by("event_type", "sequence").alias("event_type"))

@@ -297,3 +297,120 @@ def corpus_type(label: Column) -> Column:
 def label_accounting(labels: DataFrame) -> DataFrame:
     """How often each corpus label occurs, and what it maps to."""
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("entity_type", corpus_type(F.col("label")))
+
+
+def negative_slots(hits: DataFrame, document: str, tag: str, gold: Column) -> DataFrame:
+    """tag, negative_slots, false_hits: slots of a document and a tag without gold, and how many of them a prediction fills.
+
+    ``hits`` has a row for each prediction; ``gold`` tells the right ones. Every document has a slot for every tag; the
+    tags, one row each, are the small side.
+    """
+    slots = hits.select(document).distinct().crossJoin(F.broadcast(hits.select(tag).distinct()))
+    have = hits.groupBy(document, tag).agg(F.count_if(gold).alias("g"), F.count(F.lit(1)).alias("p"))
+    full = slots.join(have, [document, tag], "left").fillna(0, ["g", "p"])
+    return full.groupBy(F.col(tag).alias("tag")).agg(F.count_if(F.col("g") == 0).alias("negative_slots"), F.count_if((F.col("g") == 0) & (F.col("p") > 0)).alias("false_hits"))
+
+
+def latency(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """by, p50, p95 (interpolated) and p95_rank (a value that occurs), exact."""
+    ranked = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})")
+    return rows.groupBy(by).agg(F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"), F.round(ranked, 6).alias("p95_rank"))
+
+
+def route_counts(requests: DataFrame, top: int = 20) -> DataFrame:
+    """route, status, n: the ``top`` most frequent pairs; the report is of these only."""
+    return requests.groupBy("route", "status").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "route", "status").limit(top)
+
+
+def unit_breakdown(units: DataFrame) -> DataFrame:
+    """source, kind, n, chars, empty: how many units of each kind a source's documents were read into (units: source, kind, text)."""
+    text = F.coalesce("text", F.lit(""))
+    return units.groupBy("source", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).alias("chars"), F.count_if(F.trim(text) == "").alias("empty"))
+
+
+def macro_f1(scores: DataFrame, counted: str = "entity") -> DataFrame:
+    """macro_f1 and types: the plain mean of F1 over the rows of one scope of ``grouped_scores``."""
+    return scores.filter(F.col("scope") == counted).agg(F.round(F.coalesce(F.avg("f1"), F.lit(0.0)), 6).alias("macro_f1"), F.count(F.lit(1)).alias("types"))
+
+
+def relaxed_pairs(pred: DataFrame, gold: DataFrame, compatible: list[tuple[str, str]] = (), least: float = 0.5) -> DataFrame:
+    """Predictions and gold of one case that match when relaxed: the type equal or ``compatible`` (predicted, gold), and
+    half of either span shared, or one normalized value contained in the other. Rows: case_id, char_start, char_end,
+    entity_type, value."""
+    p, g = pred.alias("p"), gold.alias("g")
+    kind = F.col("p.entity_type") == F.col("g.entity_type")
+    for a, b in compatible:
+        kind = kind | (F.col("p.entity_type") == a) & (F.col("g.entity_type") == b)
+    common = F.greatest(F.lit(0), F.least("p.char_end", "g.char_end") - F.greatest("p.char_start", "g.char_start"))
+    shorter = F.least(F.col("p.char_end") - F.col("p.char_start"), F.col("g.char_end") - F.col("g.char_start"))
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(F.col(c)), r"[^a-z0-9]+", " "))
+    inside = (F.length(norm("p.value")) > 0) & (F.length(norm("g.value")) > 0) & (norm("p.value").contains(norm("g.value")) | norm("g.value").contains(norm("p.value")))
+    return p.join(g, (F.col("p.case_id") == F.col("g.case_id")) & kind & ((common >= least * F.greatest(F.lit(1), shorter)) | inside)).select("p.case_id", F.col("p.entity_type").alias("entity_type"), F.col("p.char_start").alias("p_start"), F.col("p.char_end").alias("p_end"), F.col("g.entity_type").alias("g_type"), F.col("g.char_start").alias("g_start"), F.col("g.char_end").alias("g_end"), common.cast("long").alias("overlap"))
+
+
+def relaxed_coverage(pred: DataFrame, gold: DataFrame, compatible: list[tuple[str, str]] = ()) -> DataFrame:
+    """tp_pred, n_pred, tp_gold, n_gold, precision, recall, f1: predictions with some relaxed partner, gold with one; not one-to-one."""
+    pairs = relaxed_pairs(pred, gold, compatible)
+    hit_p = pairs.select("case_id", "entity_type", "p_start", "p_end").distinct().agg(F.count(F.lit(1)).alias("tp_pred"))
+    hit_g = pairs.select("case_id", "g_type", "g_start", "g_end").distinct().agg(F.count(F.lit(1)).alias("tp_gold"))
+    one = hit_p.crossJoin(hit_g).crossJoin(pred.agg(F.count(F.lit(1)).alias("n_pred"))).crossJoin(gold.agg(F.count(F.lit(1)).alias("n_gold")))  # one row each
+    p, r = ratio(F.col("tp_pred"), F.col("n_pred")), ratio(F.col("tp_gold"), F.col("n_gold"))
+    return one.select("tp_pred", "n_pred", "tp_gold", "n_gold", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1"))
+
+
+def annotator_scores(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """Micro scores over annotators, recall of direct and quasi identifiers, and how often a value that needs no mask was hit.
+
+    pred: case_id, value. gold: case_id, annotator, value, need (DIRECT, QUASI or NO_MASK). Each annotator's values are
+    compared as multisets with the case's predictions; values that need no mask count for the last rate alone.
+    """
+    keys = ["case_id", "value"]
+    seen = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("a"))
+    masked = gold.filter("need <> 'NO_MASK'")
+    wanted = masked.groupBy("annotator", *keys).agg(F.count(F.lit(1)).alias("b"), F.count_if(F.col("need") == "DIRECT").alias("direct"))
+    both = wanted.join(seen, keys, "left").withColumn("tp", F.least("b", F.coalesce("a", F.lit(0))))
+    cases = gold.select("annotator", "case_id").distinct()
+    n_pred = cases.join(seen, "case_id").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("n_pred"))
+    direct = F.col("direct") > 0
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = both.agg(total("tp").alias("tp"), total("b").alias("n_gold"), total(F.when(direct, F.col("tp"))).alias("tp_d"), total(F.when(direct, F.col("b"))).alias("n_d"), total(F.when(~direct, F.col("tp"))).alias("tp_q"), total(F.when(~direct, F.col("b"))).alias("n_q"))
+    none = gold.filter("need = 'NO_MASK'").select("annotator", *keys).distinct().join(seen, keys, "left").agg(F.count(F.lit(1)).alias("n_free"), F.count("a").alias("hit_free"))
+    one = sums.crossJoin(n_pred).crossJoin(none)  # one row each
+    tp, fp, fn = F.col("tp"), F.col("n_pred") - F.col("tp"), F.col("n_gold") - F.col("tp")
+    return one.select("tp", fp.alias("fp"), fn.alias("fn"), *[c.alias(k) for k, c in prf(tp, fp, fn).items()], F.round(ratio(F.col("tp_d"), F.col("n_d")), 6).alias("direct_recall"), F.round(ratio(F.col("tp_q"), F.col("n_q")), 6).alias("quasi_recall"), F.round(ratio(F.col("hit_free"), F.col("n_free")), 6).alias("no_mask_rate"))
+
+
+def assign(pairs: DataFrame, left: str, right: str, score: str, scope: str) -> DataFrame:
+    """One-to-one pairs of each scope by falling score (then left, then right): each side is used once. A scope's pairs make one row."""
+    kinds = pairs.schema
+    item = f"struct<{left}:{kinds[left].dataType.simpleString()},{right}:{kinds[right].dataType.simpleString()},{score}:double>"
+
+    @F.arrow_udf(f"array<{item}>")
+    def run(scopes: pa.Array) -> pa.Array:
+        out = []
+        for rows in scopes.to_pylist():
+            used_l, used_r, kept = set(), set(), []
+            for r in sorted(rows, key=lambda r: (-r[score], r[left], r[right])):
+                if r[left] not in used_l and r[right] not in used_r:
+                    used_l.add(r[left])
+                    used_r.add(r[right])
+                    kept.append(r)
+            out.append(kept)
+        return pa.array(out, type=scopes.type)
+
+    grouped = pairs.groupBy(scope).agg(F.collect_list(F.struct(left, right, F.col(score).cast("double").alias(score))).alias("rows"))
+    return grouped.select(scope, F.inline(run("rows")))
+
+
+def within_reach(places: DataFrame, scope: str, key: str, place: str, reach: float) -> DataFrame:
+    """(a, b): pairs of keys of one scope, the lesser first, whose places differ by less than ``reach``.
+
+    Places lie in bins of ``reach``; a place meets those of its bin and the next, so the join is by equal keys.
+    """
+    bin_ = F.floor(F.col(place) / reach).cast("long")
+    own = places.select(F.col(scope).alias("s"), F.col(key).alias("k"), F.col(place).alias("x"), bin_.alias("bin"))
+    left, right = own, own.withColumn("bin", F.explode(F.array(F.col("bin"), F.col("bin") - 1))).toDF("s", "k2", "x2", "bin")
+    # a pair of one bin meets once; a pair of neighbouring bins meets in the lower one
+    same = F.floor(F.col("x") / reach) == F.floor(F.col("x2") / reach)
+    met = left.join(right, ["s", "bin"]).filter((F.abs(F.col("x") - F.col("x2")) < reach) & (~same & (F.col("k") != F.col("k2")) | same & (F.col("k") < F.col("k2"))))
+    return met.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"))

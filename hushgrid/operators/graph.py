@@ -179,3 +179,14 @@ def descriptor(present: DataFrame) -> DataFrame:
     """The rules of each document for every level and audience: array of (entity_type, action), by type."""
     acted = with_actions(present.select("doc_id", "entity_type").distinct())
     return acted.groupBy("doc_id", "level", "audience").agg(F.array_sort(F.collect_list(F.struct("entity_type", "action"))).alias("rules"))
+
+
+def same_record_combos(records: DataFrame, group: str, flags: list[str]) -> DataFrame:
+    """group, records, linked, linkable: how many records of a data set hold all of ``flags`` (booleans) at once.
+
+    A combination is evidence only if one record has all its parts; two columns that never meet in a row are none.
+    """
+    every = F.lit(True)
+    for flag in flags:
+        every = every & F.coalesce(F.col(flag), F.lit(False))
+    return records.groupBy(group).agg(F.count(F.lit(1)).alias("records"), F.count_if(every).alias("linked"), F.bool_or(every).alias("linkable"))

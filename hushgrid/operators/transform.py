@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,14 +31,37 @@ def open_reviews(mentions: DataFrame) -> DataFrame:
     return mentions.filter("review_status = 'PENDING'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pending"))
 
 
+def settle(spans: list[tuple[int, int, str]]) -> list[bool]:
+    """Which of the spans (start, end, type) stay: the longest first, then the first, then the one of the lesser type; a
+    span falls only to one that stays and overlaps it. Empty spans stay nowhere."""
+    starts: list[int] = []
+    ends: list[int] = []
+    kept = [False] * len(spans)
+    for k in sorted(range(len(spans)), key=lambda k: (spans[k][0] - spans[k][1], *spans[k])):
+        a, b, _ = spans[k]
+        at = bisect_right(starts, a)
+        if a < b and (at == 0 or ends[at - 1] <= a) and (at == len(starts) or b <= starts[at]):
+            starts.insert(at, a)
+            ends.insert(at, b)
+            kept[k] = True
+    return kept
+
+
 def resolve(spans: DataFrame) -> DataFrame:
-    """Spans with ``kept``: of overlapping ones the longest, then the first, then the one of the lesser type.
+    """Spans with ``kept``: of overlapping ones the longest, then the first, then the one of the lesser type (``settle``).
 
-    A span falls to any better one that overlaps it; what is kept never overlaps.
+    The rule is the one that ``sanitize`` writes by. A document's spans make one row. Of equal spans one stays.
     """
-    best = Window.partitionBy("doc_id").orderBy("char_start", F.desc("char_end"), "entity_type")
-    far = F.max("char_end").over(best.rowsBetween(Window.unboundedPreceding, -1))
-    return spans.withColumn("kept", F.coalesce(F.col("char_start") >= far, F.lit(True)))
+    numbered = spans.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in spans.columns]))
+    lists = numbered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("char_start").cast("long").alias("a"), F.col("char_end").cast("long").alias("b"), "entity_type", F.col("_row").alias("row")))).alias("all"))
+
+    @F.arrow_udf("array<boolean>")
+    def run(all_: pa.Array) -> pa.Array:
+        return pa.array([settle([(x["a"], x["b"], x["entity_type"] or "") for x in own]) for own in all_.to_pylist()], type=pa.list_(pa.bool_()))
+
+    places = F.transform("all", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["entity_type"].alias("entity_type")))
+    out = lists.withColumn("kept", run(places)).select(F.explode(F.arrays_zip("all", "kept")).alias("z"))
+    return out.select("z.all.row.*", F.col("z.kept").alias("kept"))
 
 
 def splice(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -70,24 +96,28 @@ def rewrite(text: str, spans: list[tuple[int, int, str, str]]) -> tuple[str, int
     Overlapping spans are settled, the longest first. Then further occurrences of each value and its short forms are
     replaced too where they are free, longest first.
     """
+    starts: list[int] = []
     taken: list[tuple[int, int, str]] = []
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y, _ in taken)
-
-    for a, b, _, new in sorted(spans, key=lambda s: (s[0] - s[1], s[0], s[2])):
-        if 0 <= a < b <= len(text) and free(a, b):
-            taken.append((a, b, new))
-    own = len(taken)
+    def take(a: int, b: int, new: str) -> bool:
+        """Write over [a, b) if nothing is written there yet; what is written stays in order."""
+        at = bisect_right(starts, a)
+        if at and taken[at - 1][1] > a or at < len(taken) and taken[at][0] < b:
+            return False
+        starts.insert(at, a)
+        taken.insert(at, (a, b, new))
+        return True
+
+    inside = [s for s in spans if 0 <= s[0] < s[1] <= len(text)]
+    own = sum(take(a, b, new) for a, b, _, new in sorted(inside, key=lambda s: (s[0] - s[1], s[0], s[1], s[2])))
     found = []
-    for _, _, kind, new, value in {(0, 0, k, n, text[a:b]) for a, b, k, n in spans if 0 <= a < b <= len(text)}:
+    for kind, new, value in {(k, n, text[a:b]) for a, b, k, n in inside}:
         for form in variants(kind, value):
             found += [(len(form), *m.span(), new) for m in literal(form).finditer(text)]
     for _, a, b, new in sorted(found, key=lambda f: (-f[0], f[1], f[2], f[3])):
-        if free(a, b):
-            taken.append((a, b, new))
+        take(a, b, new)
     out, at = [], 0
-    for a, b, new in sorted(taken):
+    for a, b, new in taken:
         out += [text[at:a], new]
         at = b
     return "".join([*out, text[at:]]), own, len(taken) - own
@@ -106,13 +136,42 @@ def sanitize(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(listed, "doc_id", "left").withColumn("r", run("text", "spans")).select("doc_id", "text", "r.*")
 
 
+def _in_cell() -> Column:
+    """Whether a span s lies in a cell c of its record."""
+    inside = (F.col("s.char_start") >= F.col("c.char_start")) & (F.col("s.char_end") <= F.col("c.char_end"))
+    return (F.col("s.doc_id") == F.col("c.doc_id")) & (F.col("s.record") == F.col("c.record")) & inside
+
+
+def spans_in_cells(cells: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, record, column, char_start, char_end of each span and the cell that it lies in."""
+    hits = spans.alias("s").join(cells.alias("c"), _in_cell())
+    return hits.select("s.doc_id", "s.record", "c.column", "s.char_start", "s.char_end")
+
+
+def unmatched_spans(cells: DataFrame, spans: DataFrame) -> DataFrame:
+    """The spans that ``sanitize_cells`` does not write, with ``hits``: in how many cells each lies (0, or more than one)."""
+    key = ["doc_id", "record", "char_start", "char_end"]
+    n = spans_in_cells(cells, spans).groupBy(*key).agg(F.count(F.lit(1)).alias("hits"))
+    return spans.join(n, key, "left").withColumn("hits", F.coalesce("hits", F.lit(0))).filter("hits <> 1")
+
+
+def annotations(mentions: DataFrame, instructions: DataFrame) -> DataFrame:
+    """A row of evidence for each mention: what was found, where, and what became of it.
+
+    mentions: doc_id, char_start, char_end, entity_type, plaintext, confidence, review_status, context_label. A mention
+    without an instruction was kept as it is. Plain values are not part of the rows; their length is.
+    """
+    acted = instructions.select("doc_id", "char_start", "char_end", "entity_type", "action", "replacement").dropDuplicates(["doc_id", "char_start", "char_end", "entity_type"])
+    out = mentions.join(acted, ["doc_id", "char_start", "char_end", "entity_type"], "left")
+    return out.select("doc_id", "char_start", "char_end", "entity_type", F.length("plaintext").alias("n_chars"), "confidence", "review_status", "context_label", F.coalesce("action", F.lit("RETAIN")).alias("action"), "replacement", F.col("action").isNotNull().alias("transformed"))
+
+
 def sanitize_cells(cells: DataFrame, spans: DataFrame) -> DataFrame:
     """Cells (doc_id, record, column, value, char_start, char_end) with the spans that lie in exactly one of them replaced.
 
-    Spans that hit no cell, or more than one, are not written; ``unmatched`` tells them.
+    Spans that hit no cell, or more than one, are not written; ``unmatched_spans`` returns them.
     """
-    inside = (F.col("s.char_start") >= F.col("c.char_start")) & (F.col("s.char_end") <= F.col("c.char_end"))
-    hits = spans.alias("s").join(cells.alias("c"), (F.col("s.doc_id") == F.col("c.doc_id")) & (F.col("s.record") == F.col("c.record")) & inside)
+    hits = spans.alias("s").join(cells.alias("c"), _in_cell())
     once = hits.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("s.doc_id", "s.char_start", "s.char_end", "s.record"))).filter("n = 1")
     local = once.select(F.col("c.doc_id").alias("doc_id"), F.col("c.record").alias("record"), F.col("c.column").alias("column"), F.struct((F.col("s.char_start") - F.col("c.char_start")).cast("int").alias("start"), (F.col("s.char_end") - F.col("c.char_start")).cast("int").alias("end"), F.col("s.replacement").alias("replacement")).alias("span"))
     spans_of = local.groupBy("doc_id", "record", "column").agg(F.array_sort(F.collect_list("span")).alias("spans"))
@@ -157,22 +216,65 @@ def normal(seed: str, *keys: Column) -> Column:
     return F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.lit(3.141592653589793) * unit(seed + ":v", *keys))
 
 
-def twin(df: DataFrame, key: str, seed: str = "twin") -> DataFrame:
+def twin_seed(df: DataFrame, name: str, salt: bytes) -> str:
+    """A seed that only holders of the salt can compute: a keyed digest of the table's name and of all its rows, in any order."""
+    own = F.xxhash64(F.to_json(F.struct(*df.columns)))
+    r = df.agg(F.bit_xor(own).alias("x"), F.sum(own.cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    return hmac.new(salt, f"hushgrid-twin|{name}|{r['x']}|{r['s']}|{r['n']}".encode(), hashlib.sha256).hexdigest()
+
+
+def drawn(seed: str, what: str, below: int) -> int:
+    """A number in [0, below) that follows from the seed."""
+    return int.from_bytes(hmac.new(seed.encode(), what.encode(), hashlib.sha256).digest()[:8], "big") % max(1, below)
+
+
+def shifted(df: DataFrame, column: str, days: int) -> DataFrame:
+    """``df`` with a date or timestamp column moved by the same days in every row, so that order and gaps stay."""
+    k = dict(df.dtypes)[column]
+    moved = F.date_add(column, days) if k == "date" else F.col(column) + F.make_dt_interval(F.lit(days))
+    return df.withColumn(column, moved.cast(k))
+
+
+def turned(df: DataFrame, key: str, column: str, by: int) -> DataFrame:
+    """``df`` with a column's values moved ``by`` rows on in the order of ``key`` (unique): a rotation, so no row keeps its own unless ``by`` is a multiple of the rows.
+
+    Rows are numbered inside ranges of the key and shifted by the sizes of the ranges before, so no task holds the table.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id())
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    row = F.col("_base") + F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    rows = dealt.join(F.broadcast(sizes), "_part").withColumn("_row", row).drop("_part", "_base")
+    size = df.agg(F.count(F.lit(1)).alias("_n"))
+    donors = rows.select(F.col("_row").alias("_from"), F.col(column).alias("_value"))
+    out = rows.crossJoin(F.broadcast(size)).withColumn("_from", F.pmod(F.col("_row") + by, F.col("_n"))).join(donors, "_from")
+    return out.withColumn(column, F.col("_value")).select(*df.columns)
+
+
+def twin(df: DataFrame, key: str, salt: bytes, name: str = "table", overrides: DataFrame | None = None) -> DataFrame:
     """A table like ``df`` without its rows.
 
-    Row numbers come from a hash of the key, and each row's donor is the row a seeded step further round: never
-    itself. All numeric columns take the same donor, which keeps their correlations, plus 3.5 % of a deviation of noise;
-    dates move by one step for each column; categories (at most 32 values, at most half distinct) turn one further in
-    their order; columns of a person's data get made-up values; other text gets a numbered stand-in.
+    All that is drawn follows from ``twin_seed``, so that nobody without the salt can undo it. Row numbers come from a
+    hash of the key, and each row's donor is the row a seeded step further round: never itself. All numeric columns take
+    the same donor, which keeps their correlations, plus 3.5 % of a deviation of noise; dates move by one step for each
+    column; categories (at most 32 values, at most half distinct) turn one further in their order; columns of a person's
+    data get made-up values; other text gets a numbered stand-in. ``overrides`` (the key's original value as ``key``,
+    column, value) come last: the value that an entity has elsewhere. A table of one row has no donor and is refused; an
+    empty one stays empty.
     """
-    spark = df.sparkSession
-    numbered = number_rows(df, key, seed)
-    n = numbered.count()
-    step = 1 + sum(seed.encode()) % max(1, n - 1)
+    n = df.count()
+    if n == 1:
+        raise ValueError("a table of one row has no twin: every donor would be the row itself")
+    seed = twin_seed(df, name, salt)
+    numbered = number_rows(df, key, seed).withColumn("_own", F.col(key).cast("string"))
+    step = 1 + drawn(seed, "step", n - 1)
     kinds = dict(df.dtypes)
     numeric = [c for c, k in kinds.items() if c != key and k in ("int", "bigint", "double", "float", "smallint")]
-    donors = numbered.select(F.pmod(F.col("_row") - step, F.lit(n)).alias("_row"), *[F.col(c).alias(f"_{c}") for c in numeric])
-    spreads = df.agg(*[F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(c) for c in numeric], *[F.approx_count_distinct(c).alias(f"#{c}") for c, k in kinds.items() if k == "string"]).first()
+    donors = numbered.select(F.pmod(F.col("_row") - step, F.lit(max(1, n))).alias("_row"), *[F.col(c).alias(f"_{c}") for c in numeric])
+    spreads = df.agg(F.lit(0).alias("_"), *[F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(c) for c in numeric]).first()
+    texts = [c for c, k in kinds.items() if k == "string" and c != key and role(c) is None]
+    distinct = {c: [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(33).collect()] for c in texts}  # 33 tell that there are too many
     out = numbered.join(donors, "_row")
     for c, k in kinds.items():
         what = role(c)
@@ -184,18 +286,22 @@ def twin(df: DataFrame, key: str, seed: str = "twin") -> DataFrame:
                 noisy = F.col(f"_{c}") + normal(f"{seed}:{c}", F.col("_row")) * (0.035 * float(spreads[c]))
                 out = out.withColumn(c, (F.bround(noisy, 0) if "int" in k else noisy).cast(k))
         elif k in ("date", "timestamp"):
-            days = 181 + sum(f"{seed}:{c}".encode()) % 549
-            out = out.withColumn(c, (F.date_add(c, days) if k == "date" else F.col(c) + F.make_dt_interval(F.lit(days))).cast(k))
+            out = shifted(out, c, 181 + drawn(seed, f"days:{c}", 549))
         elif c == key:
             out = out.withColumn(c, (F.col("_row") + 1).cast(k) if k != "string" else F.concat(F.lit("S"), F.lpad((F.col("_row") + 1).cast("string"), 9, "0")))
-        elif k == "string" and what is None and spreads[f"#{c}"] <= 32 and spreads[f"#{c}"] * 2 <= n:
-            values = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())  # 32 about
-            turn = {v: values[(k_ + 1) % len(values)] for k_, v in enumerate(values)}
+        elif c in distinct and len(distinct[c]) <= 32 and len(distinct[c]) * 2 <= n:
+            values = sorted(distinct[c])
+            turn = {v: values[(j + 1) % len(values)] for j, v in enumerate(values)}
             out = out.withColumn(c, V.lookup(F.col(c), turn, F.lit(None).cast("string"))) if values else out
         elif k == "string":
             number = F.lpad((F.floor(unit(f"{seed}:{c}", F.col("_row")) * 90_000) + 10_000).cast("string"), 5, "0")
             made = {"EMAIL": F.concat(F.lit("person"), number, F.lit("@synthetic.example")), "PHONE": F.concat(F.lit("+00 55500 "), number), "PERSON_NAME": F.concat(F.lit("Synthetic Person "), number), "POSTCODE": F.concat(F.lit("9"), number)}.get(what, F.concat(F.lit(f"Synthetic {c} "), number))
             out = out.withColumn(c, F.when(F.col(c).isNotNull(), made))
+    if overrides is not None:
+        told = overrides.groupBy(F.col("key").cast("string").alias("_own")).agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("_told"))
+        out = out.join(told, "_own", "left")
+        for c, k in kinds.items():
+            out = out.withColumn(c, F.coalesce(F.element_at("_told", F.lit(c)).cast(k), F.col(c)))
     return out.select(*df.columns)
 
 

@@ -42,12 +42,15 @@ def gate(docs: DataFrame, failures: DataFrame | None, name: str) -> DataFrame:
 def leaks(known: DataFrame, texts: DataFrame, text_col: str = "protected", min_digits: int = 4) -> DataFrame:
     """Known values that can still be read in the document's text. A join on doc_id, never across documents.
 
-    Values of ``min_digits`` digits or fewer that are compared as bare digits would match anything and are left out.
+    Values of fewer than ``min_digits`` digits that are compared as bare digits would match inside any number; these
+    leak only where they stand alone, as a number of their own.
     """
     joined = known.join(texts.select("doc_id", F.col(text_col).alias("_text")), "doc_id")
     bare = F.col("entity_type").isin("PHONE", "AADHAAR_LIKE", "POSTCODE", "BUILDING_NUMBER")
     long = ~bare | (F.length(V.digits(F.col("plaintext"))) >= min_digits)
-    return joined.filter(long & V.present(F.col("entity_type"), F.col("plaintext"), F.col("_text"))).drop("_text")
+    own = V.digits(F.col("plaintext"))
+    alone = (own != "") & F.concat(F.lit(" "), F.regexp_replace("_text", "[^0-9]+", " "), F.lit(" ")).contains(F.concat(F.lit(" "), own, F.lit(" ")))
+    return joined.filter(F.when(long, V.present(F.col("entity_type"), F.col("plaintext"), F.col("_text"))).otherwise(F.coalesce(alone, F.lit(False)))).drop("_text")
 
 
 def squeezed_leaks(known: DataFrame, texts: DataFrame, text_col: str = "protected") -> DataFrame:
@@ -59,28 +62,27 @@ def squeezed_leaks(known: DataFrame, texts: DataFrame, text_col: str = "protecte
 
 
 def fragments(known: DataFrame, lines: DataFrame) -> DataFrame:
-    """Known values of which a long piece survives in a line of the output: n-grams of both sides meet in a hash join.
+    """Known values of which a long piece survives in a line of the output.
 
     lines: doc_id, line_no, text. Digits for phones and Aadhaar numbers, letters and digits for the rest; for mail only
-    the names of addresses that are left; for people any word of five letters.
+    the names of addresses that are left; for people any word of five letters. A document's lines become one row of
+    forms, which its values' pieces are looked up in: the corpus is shuffled once by doc_id, and its n-grams never.
     """
     digit = F.col("entity_type").isin("PHONE", "AADHAAR_LIKE")
+    person = F.col("entity_type") == "PERSON_NAME"
     size = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FRAGMENT.items() for x in kv]), F.col("entity_type")), F.lit(0))
     mail = F.col("entity_type") == "EMAIL"
     form = F.when(digit, V.digits(F.col("plaintext"))).when(mail, V.alphanumeric(F.substring_index("plaintext", "@", 1))).otherwise(V.alphanumeric(F.col("plaintext")))
-    kind = F.when(digit, "digits").when(mail, "mail").otherwise("alnum")
-    grams = known.select("doc_id", "entity_type", "plaintext", kind.alias("kind"), form.alias("form"), size.alias("n")).filter("n > 0 and length(form) >= n")
-    grams = grams.select("*", F.explode(F.sequence(F.lit(1), F.length("form") - F.col("n") + 1)).alias("at")).withColumn("gram", F.expr("substring(form, at, n)"))
+    pieces = F.expr("CASE WHEN n > 0 AND length(form) >= n THEN transform(sequence(1, length(form) - n + 1), i -> substring(form, i, n)) ELSE array() END")
+    words = F.expr(r"regexp_extract_all(lower(plaintext), '\\p{L}{5,}', 0)")
+    values = known.withColumn("form", form).withColumn("n", size).withColumn("pieces", F.when(person, words).otherwise(pieces)).filter(F.size("pieces") > 0)
     mails = F.transform(F.expr(r"regexp_extract_all(text, '[A-Za-z0-9._%+*-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', 0)"), lambda m: F.regexp_replace(F.upper(F.substring_index(m, "@", 1)), "[^A-Z0-9]", ""))
-    forms = lines.select("doc_id", F.explode(F.array_union(F.array(F.struct(F.lit("digits").alias("kind"), V.digits(F.col("text")).alias("form")), F.struct(F.lit("alnum").alias("kind"), V.alphanumeric(F.col("text")).alias("form"))), F.transform(mails, lambda m: F.struct(F.lit("mail").alias("kind"), m.alias("form"))))).alias("f")).select("doc_id", "f.*")
-    sizes = F.explode(F.array(*[F.lit(n) for n in sorted(set(FRAGMENT.values()))])).alias("n")
-    cut = forms.select("*", sizes).filter(F.length("form") >= F.col("n")).select("doc_id", "kind", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("form") - F.col("n") + 1), lambda i: F.col("form").substr(i, F.col("n")))).alias("gram"))
-    # only grams of lengths and kinds that the document's values have
-    cut = cut.join(grams.select("doc_id", "kind", "n").distinct(), ["doc_id", "kind", "n"], "left_semi")
-    hit = grams.join(cut, ["doc_id", "kind", "n", "gram"], "left_semi").select("doc_id", "entity_type", "plaintext")
-    words = known.filter("entity_type = 'PERSON_NAME'").select("doc_id", "entity_type", "plaintext", F.explode(F.expr(r"regexp_extract_all(lower(plaintext), '\\p{L}{5,}', 0)")).alias("word"))
-    there = lines.select("doc_id", F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("word")).filter("length(word) >= 5")
-    return hit.union(words.join(there, ["doc_id", "word"], "left_semi").select("doc_id", "entity_type", "plaintext")).distinct()
+    # lines and addresses are kept apart by a line break, which no piece has
+    joined = lambda c: F.array_join(F.collect_list(c), "\n")
+    own = lines.groupBy("doc_id").agg(joined(V.digits(F.col("text"))).alias("_digits"), joined(V.alphanumeric(F.col("text"))).alias("_alnum"), joined(F.array_join(mails, "\n")).alias("_mails"), joined(F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"\P{L}+", " "), F.lit(" "))).alias("_words"))
+    where = F.when(digit, F.col("_digits")).when(mail, F.col("_mails")).otherwise(F.col("_alnum"))
+    hit = F.when(person, F.exists("pieces", lambda p: F.contains(F.col("_words"), F.concat(F.lit(" "), p, F.lit(" "))))).otherwise(F.exists("pieces", lambda p: F.contains(where, p)))
+    return values.join(own, "doc_id").filter(hit).select("doc_id", "entity_type", "plaintext").distinct()
 
 
 def uncovered(expected: DataFrame, instructions: DataFrame) -> DataFrame:
@@ -119,11 +121,11 @@ def anchors(texts: DataFrame, spans: DataFrame, least: float = 0.90) -> DataFram
 
 
 def changed_outside(texts: DataFrame, instructions: DataFrame) -> DataFrame:
-    """Documents whose output is not the original with exactly the instructed spans replaced."""
-    from .transform import splice
+    """Documents whose output is not the original with the instructed spans, and further places of their values, replaced: what ``sanitize`` makes."""
+    from .transform import sanitize
 
-    spans = instructions.select("doc_id", "char_start", "char_end", "replacement")
-    return splice(texts.withColumnRenamed("protected", "_made"), spans).filter("_made <> protected").select("doc_id")
+    made = sanitize(texts.select("doc_id", "text"), instructions).select("doc_id", F.col("protected").alias("_made"))
+    return texts.select("doc_id", "protected").join(made, "doc_id").filter("_made <> protected").select("doc_id")
 
 
 def changed_cells(before: DataFrame, after: DataFrame, targets: DataFrame, key: list[str]) -> DataFrame:
@@ -174,16 +176,18 @@ def score(gates: DataFrame) -> DataFrame:
 def run(texts: DataFrame, known: DataFrame, expected: DataFrame, instructions: DataFrame, level: int, rescan: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The twelve gates of text. ``rescan`` detects mentions (doc_id, entity_type, plaintext) in the output."""
     docs = texts.select("doc_id")
-    lines = texts.select("doc_id", F.posexplode(F.split("protected", "\n")).alias("line_no", "text"))
     again = None
     if rescan is not None:
         allowed = instructions.select("doc_id", F.lower("replacement").alias("_v")).distinct()
         again = rescan(texts).filter(F.col("entity_type").isin(*FRAGMENT)).withColumn("_v", F.lower("plaintext")).join(allowed, ["doc_id", "_v"], "left_anti")
-    bytes_ = texts.select("doc_id", F.encode("protected", "UTF-8").alias("content"))
+    # an approved replacement may hold a value, which is no leak
+    blanked = without_phrases(texts, instructions.select("doc_id", "replacement"))
+    bytes_ = blanked.select("doc_id", F.encode("protected", "UTF-8").alias("content"))
+    lines = blanked.select("doc_id", F.posexplode(F.split("protected", "\n")).alias("line_no", "text"))
     found = {
         "direct_identifier_rescan": again,
-        "independent_extraction": leaks(known, texts),
-        "secondary_text_parser_rescan": squeezed_leaks(known, texts),
+        "independent_extraction": leaks(known, blanked),
+        "secondary_text_parser_rescan": squeezed_leaks(known, blanked),
         "hidden_markup_payload_scan": texts.filter(F.col("protected").rlike(r"\\\*\\(?:datastore|themedata|objdata)")),
         "character_span_integrity": changed_outside(texts, instructions),
         "metadata_and_embedded_content": metadata_markers(texts),
@@ -199,3 +203,104 @@ def run(texts: DataFrame, known: DataFrame, expected: DataFrame, instructions: D
         one = gate(docs, found[name], name)
         out = one if out is None else out.unionByName(one)
     return out.withColumn("severity", severity(F.col("name")))
+
+
+def without_phrases(texts: DataFrame, approved: DataFrame, text_col: str = "protected") -> DataFrame:
+    """``texts`` with each approved replacement blanked out, longest first: a value inside one of them is no leak.
+
+    approved: doc_id, replacement. A document's replacements make one row; the blanks keep words apart.
+    """
+    phrases = approved.filter("replacement <> ''").groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_set(F.struct(F.length("replacement").alias("n"), F.col("replacement").alias("p"))))).alias("_phrases"))
+    blank = F.aggregate("_phrases", F.col(text_col), lambda text, x: F.replace(text, x["p"], F.lit(" \u0000 ")))
+    out = texts.join(phrases, "doc_id", "left")
+    return out.withColumn(text_col, F.when(F.col("_phrases").isNull(), F.col(text_col)).otherwise(blank)).drop("_phrases")
+
+
+def shared_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that both tables hold."""
+    return left.select(key).intersect(right.select(key))
+
+
+def absent(known: DataFrame, cells: DataFrame) -> DataFrame:
+    """Original identifiers (entity_type, plaintext) that some cell (value) of a synthetic table equals, letter case and spaces apart."""
+    form = lambda c: F.lower(V.collapse(F.col(c)))
+    there = cells.select(form("value").alias("_form")).distinct()
+    return known.withColumn("_form", form("plaintext")).filter("_form <> ''").join(there, "_form", "left_semi").drop("_form")
+
+
+def commitment(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """commitment, rows: a digest of a table that does not depend on the order of its rows, and of which every row is a part."""
+    own = F.sha2(F.to_json(F.struct(*columns)), 256)
+    parts = [F.conv(F.substring(own, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)") for k in range(4)]
+    sums = rows.agg(*[F.coalesce(F.sum(p), F.lit(0)).alias(f"s{k}") for k, p in enumerate(parts)], F.count(F.lit(1)).alias("rows"))
+    return sums.select(F.sha2(F.concat_ws("|", *[F.col(f"s{k}").cast("string") for k in range(4)], F.col("rows").cast("string")), 256).alias("commitment"), "rows")
+
+
+#: The gates of a synthetic table.
+TWIN_SUITE = ("original_identifier_absence", "record_copy_attack", "utility_evidence", "output_commitment")
+
+
+def run_twin(original: DataFrame, synthetic: DataFrame, columns: list[str], known: DataFrame, utility: int, committed: str | None, least_utility: int = 60) -> DataFrame:
+    """name, status, detail, severity of the gates of a synthetic table.
+
+    ``known`` are the original identifiers; ``utility`` is the score of ``evaluate.utility_report``; ``committed`` is the
+    ``commitment`` taken when the table was made (none: inconclusive).
+    """
+    spark = original.sparkSession
+    cells = synthetic.select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("value"))
+    left, copies = absent(known, cells).count(), row_copies(synthetic, original, columns).count()
+    same = committed is not None and commitment(synthetic, columns).first()["commitment"] == committed
+    found = {
+        "original_identifier_absence": (left == 0, f"{left} findings"),
+        "record_copy_attack": (copies == 0, f"{copies} findings"),
+        "utility_evidence": (utility >= least_utility, f"utility {utility}"),
+        "output_commitment": (None if committed is None else same, "commitment compared" if committed is not None else "not run"),
+    }
+    rows = [(name, "INCONCLUSIVE" if ok is None else "PASS" if ok else "FAIL", detail) for name, (ok, detail) in found.items()]
+    return spark.createDataFrame(rows, "name string, status string, detail string").withColumn("severity", severity(F.col("name")))
+
+
+def run_table(before: DataFrame, after: DataFrame, known: DataFrame, expected: DataFrame, instructions: DataFrame, level: int, rescan: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The gates of a table, by its cells: before and after have doc_id, record, header, value.
+
+    known, expected, instructions: doc_id, entity_id, entity_type, plaintext (instructions also record, header,
+    replacement). Texts of the gates that read texts are the cells, a line each.
+    """
+    as_text = lambda df, name: df.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record", "header", "value"))), lambda c: F.coalesce(c["value"], F.lit(""))), "\n").alias(name))
+    texts = as_text(before, "text").join(as_text(after, "protected"), "doc_id")
+    docs = texts.select("doc_id")
+    again = None
+    if rescan is not None:
+        allowed = instructions.select("doc_id", F.lower("replacement").alias("_v")).distinct()
+        again = rescan(texts).filter(F.col("entity_type").isin(*FRAGMENT)).withColumn("_v", F.lower("plaintext")).join(allowed, ["doc_id", "_v"], "left_anti")
+    blanked = without_phrases(texts, instructions.select("doc_id", "replacement"))
+    headers = lambda df: df.select("doc_id", "header").distinct()
+    schema = headers(before).exceptAll(headers(after)).union(headers(after).exceptAll(headers(before)))
+    found = {
+        "direct_identifier_rescan": again,
+        "independent_extraction": leaks(known, blanked),
+        "secondary_structured_parser_rescan": squeezed_leaks(known, blanked),
+        "structured_hidden_channel_scan": formula_cells(after),
+        "structured_cell_integrity": changed_cells(before, after, instructions, ["doc_id", "record", "header"]),
+        "metadata_and_embedded_content": metadata_markers(texts),
+        "policy_coverage": uncovered(expected, instructions),
+        "relationship_consistency": inconsistent(instructions, unique_aliases=level == 4),
+        "raw_object_stream_scan": hidden_markup(known, blanked.select("doc_id", F.encode("protected", "UTF-8").alias("content"))),
+        "direct_identifier_fragment_attack": fragments(known, blanked.select("doc_id", F.lit(0).alias("line_no"), F.col("protected").alias("text"))),
+        "replacement_presence_attack": missing_replacements(instructions, texts),
+        "structured_schema_preservation": schema,
+    }
+    out = None
+    for name in SUITES["DATASET"]:
+        one = gate(docs, found[name], name)
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("severity", severity(F.col("name")))
+
+
+def to_check(mentions: DataFrame, actions: DataFrame) -> DataFrame:
+    """Mentions that the gates must not find again: those whose action at the level keeps the value on purpose are left out.
+
+    mentions: doc_id, entity_type, review_status, ...; actions: entity_type, action. Ignored mentions are kept on purpose too.
+    """
+    kept = actions.filter("action = 'RETAIN'").select("entity_type")
+    return mentions.filter("review_status <> 'IGNORE'").join(F.broadcast(kept), "entity_type", "left_anti")

@@ -143,8 +143,10 @@ def pointer_escape(spark, d):
 
 @query("header_dedupe", "SELECT CAST(p_partkey AS BIGINT) AS id, CASE WHEN n = 1 THEN p_type ELSE p_type || '#' || n END AS header FROM (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_partkey % 50, lower(p_type) ORDER BY p_partkey) AS n FROM part)")
 def header_dedupe(spark, d):
-    n = F.row_number().over(Window.partitionBy(F.col("p_partkey") % 50, F.lower("p_type")).orderBy("p_partkey"))
-    return table(spark, d, "part").withColumn("n", n).select(F.col("p_partkey").alias("id"), F.when(F.col("n") == 1, F.col("p_type")).otherwise(F.concat("p_type", F.lit("#"), F.col("n").cast("string"))).alias("header"))
+    from ..sources import structured
+
+    columns = table(spark, d, "part").withColumn("sheet", F.col("p_partkey") % 50)
+    return structured.dedupe_headers(columns, "sheet", "p_partkey", "p_type").select(F.col("p_partkey").alias("id"), "header")
 
 
 @query("header_keys", "SELECT p_partkey AS id, trim(lower(regexp_replace(regexp_replace(translate('**' || p_type || '_/-' || p_brand || ':', '_/-', '   '), '[*`#:]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS key FROM part")
@@ -164,9 +166,10 @@ def virtual_cell_offsets(spark, d):
 @query("spans_in_cells", """WITH c AS (SELECT c_custkey AS doc_id, 0 AS s, length(c_name) AS e, 'c_name' AS h FROM customer UNION ALL SELECT c_custkey, 20, 20 + length(c_mktsegment), 'c_mktsegment' FROM customer)
 SELECT s.doc_id, h AS header FROM (SELECT c_custkey AS doc_id, (c_custkey % 4) * 9 AS a, (c_custkey % 4) * 9 + 5 AS b FROM customer) s JOIN c ON c.doc_id = s.doc_id AND s.a >= c.s AND s.b <= c.e""")
 def spans_in_cells(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.inline(F.array(F.struct(F.lit(0).alias("s"), F.length("c_name").alias("e"), F.lit("c_name").alias("header")), F.struct(F.lit(20).alias("s"), (F.length("c_mktsegment") + 20).alias("e"), F.lit("c_mktsegment").alias("header")))))
-    s = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), ((F.col("c_custkey") % 4) * 9).alias("a"))
-    return s.join(c, "doc_id").filter((F.col("a") >= F.col("s")) & (F.col("a") + 5 <= F.col("e"))).select("doc_id", "header")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("record"), F.inline(F.array(F.struct(F.lit(0).alias("char_start"), F.length("c_name").alias("char_end"), F.lit("c_name").alias("column")), F.struct(F.lit(20).alias("char_start"), (F.length("c_mktsegment") + 20).alias("char_end"), F.lit("c_mktsegment").alias("column")))))
+    a = (F.col("c_custkey") % 4) * 9
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("record"), a.alias("char_start"), (a + 5).alias("char_end"))
+    return TR.spans_in_cells(c, s).select("doc_id", F.col("column").alias("header"))
 
 
 # --- evaluation ------------------------------------------------------------------------------------------
@@ -232,12 +235,7 @@ def unique_value_prf(spark, d):
 @query("negative_slot_fpr", """SELECT event_type AS tag, CAST(count(*) FILTER (g = 0) AS BIGINT) AS negative_slots, CAST(count(*) FILTER (g = 0 AND p > 0) AS BIGINT) AS false_hits FROM (
 SELECT u.user_id, t.event_type, count(e.event_id) FILTER (e.value > 20) AS g, count(e.event_id) AS p FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT DISTINCT event_type FROM events) t LEFT JOIN events e ON e.user_id = u.user_id AND e.event_type = t.event_type GROUP BY ALL) GROUP BY event_type""")
 def negative_slot_fpr(spark, d):
-    """Tag and document slots without gold, and how many of them a prediction fills; the few tags are the broadcast side."""
-    e = table(spark, d, "events")
-    slots = e.select("user_id").distinct().crossJoin(F.broadcast(e.select("event_type").distinct()))
-    have = e.groupBy("user_id", "event_type").agg(F.count_if(F.col("value") > 20).alias("g"), F.count(F.lit(1)).alias("p"))
-    full = slots.join(have, ["user_id", "event_type"], "left").fillna(0, ["g", "p"])
-    return full.groupBy(F.col("event_type").alias("tag")).agg(F.count_if(F.col("g") == 0).alias("negative_slots"), F.count_if((F.col("g") == 0) & (F.col("p") > 0)).alias("false_hits"))
+    return EV.negative_slots(table(spark, d, "events"), "user_id", "event_type", F.col("value") > 20)
 
 
 @query("label_accounting", f"SELECT label, CAST(count(*) AS BIGINT) AS n, {B.d_map('replace(upper(label), chr(32), chr(0))', {w: t for t, words in EV.CORPUS_LABELS.items() for w in words.split()}, 'NULL')} AS entity_type FROM (SELECT CASE c_nationkey % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'SSN' WHEN 2 THEN 'CITY' WHEN 3 THEN 'IBAN' ELSE 'Age' END AS label FROM customer) GROUP BY label")
@@ -249,14 +247,13 @@ def label_accounting(spark, d):
 
 @query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.95), 6) AS p95_rank FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
-    p = F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)")
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.round(p, 6).alias("p95_rank"))
+    return EV.latency(table(spark, d, "events"), "event_type", "value")
 
 
 @query("route_metrics", "SELECT event_type AS route, status, CAST(count(*) AS BIGINT) AS n FROM (SELECT event_type, CASE WHEN value > 50 THEN 500 ELSE 200 END::BIGINT AS status FROM events) GROUP BY ALL ORDER BY n DESC, route, status LIMIT 20")
 def route_metrics(spark, d):
-    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("route"), F.when(F.col("value") > 50, 500).otherwise(200).cast("long").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-    return rows.orderBy(F.desc("n"), "route", "status").limit(20)  # the report is of the top 20
+    status = F.when(F.col("value") > 50, 500).otherwise(200).cast("long")
+    return EV.route_counts(table(spark, d, "events").select(F.col("event_type").alias("route"), status.alias("status")))
 
 
 # --- fidelity -------------------------------------------------------------------------------------------
@@ -310,22 +307,20 @@ def order_concordance_orders(spark, d):
 
 @query("date_shift", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 400 AS VARCHAR) AS shifted FROM orders")
 def date_shift(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.date_add(F.to_date("o_orderdate"), 400).cast("string").alias("shifted"))
+    o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("shifted"))
+    return TR.shifted(o, "shifted", 400).withColumn("shifted", F.col("shifted").cast("string"))
 
 
 @query("cyclic_shift", "SELECT a.n_nationkey AS n_nationkey, b.n_name AS shifted FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 3) % (SELECT count(*) FROM nation)")
 def cyclic_shift(spark, d):
-    n = table(spark, d, "nation")
-    size = n.agg(F.count(F.lit(1)).alias("size"))
-    donors = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("shifted"))
-    return n.crossJoin(size).withColumn("k", F.expr("(n_nationkey + 3) % size")).join(donors, "k").select("n_nationkey", "shifted")
+    return TR.turned(table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("shifted")), "n_nationkey", "shifted", 3)
 
 
 @query("schema_keys_shared", "SELECT n_name AS key FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey % 2 = 0) INTERSECT SELECT n_name FROM nation WHERE n_nationkey % 2 = 0")
 def schema_keys_shared(spark, d):
-    n = table(spark, d, "nation")
-    left = n.join(table(spark, d, "region").filter("r_regionkey % 2 = 0"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select(F.col("n_name").alias("key"))
-    return left.intersect(n.filter("n_nationkey % 2 = 0").select("n_name"))
+    n = table(spark, d, "nation").withColumn("key", F.col("n_name"))
+    left = n.join(table(spark, d, "region").filter("r_regionkey % 2 = 0"), F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
+    return VG.shared_keys(left, n.filter("n_nationkey % 2 = 0"), "key")
 
 
 # --- ledgers, retention, time ----------------------------------------------------------------------------
@@ -347,15 +342,12 @@ def ledger_chain_verify(spark, d):
 
 @query("ledger_last_event", f"SELECT job_id, CAST(max(sequence) AS BIGINT) AS sequence, arg_max(event_type, sequence) AS event_type FROM ({_EV}) GROUP BY job_id")
 def ledger_last_event(spark, d):
-    return fixture(spark, d, B.LEDGER_EVENTS).groupBy("job_id").agg(F.max("sequence").alias("sequence"), F.max_by("event_type", "sequence").alias("event_type"))
+    return audit.last_events(fixture(spark, d, B.LEDGER_EVENTS))
 
 
 @query("retention_expired", "SELECT user_id AS job_id, CAST(floor(epoch(min(ts))) AS BIGINT) + 3600 AS deadline FROM events GROUP BY user_id HAVING CAST(floor(epoch(min(ts))) AS BIGINT) + 3600 <= (SELECT CAST(floor(epoch(max(ts))) AS BIGINT) FROM events) - 86400")
 def retention_expired(spark, d):
-    e = table(spark, d, "events")
-    seconds = lambda c: F.unix_timestamp(c)
-    now = e.agg((seconds(F.max("ts")) - 86_400).alias("now"))
-    return e.groupBy(F.col("user_id").alias("job_id")).agg((seconds(F.min("ts")) + 3_600).alias("deadline")).crossJoin(F.broadcast(now)).filter("deadline <= now").drop("now")
+    return flows.expired(table(spark, d, "events"), "user_id", 3_600, 86_400)
 
 
 @query("events_tumbling", "SELECT CAST(epoch(time_bucket(INTERVAL 5 MINUTE, ts)) AS BIGINT) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -394,9 +386,7 @@ def frame_sampling(spark, d):
 @query("frame_novelty", "SELECT user_id, event_id FROM (SELECT *, abs(value - lag(value) OVER w) AS a, abs(value - lead(value) OVER w) AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE least(a, b) >= 40 AND a IS NOT NULL AND b IS NOT NULL")
 def frame_novelty(spark, d):
     """Frames that differ from both neighbours by the least novelty."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("a", F.abs(F.col("value") - F.lag("value").over(w))).withColumn("b", F.abs(F.col("value") - F.lead("value").over(w)))
-    return e.filter("a is not null and b is not null and least(a, b) >= 40").select("user_id", "event_id")
+    return flows.novel_frames(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 40).select("user_id", "event_id")
 
 
 @query("upsert_latest", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
@@ -417,10 +407,13 @@ def cascade_delete(spark, d):
     return E.cascade(c, c.filter("c_custkey % 10 = 0").select("c_custkey"), {"orders": (o, "o_custkey")}, "c_custkey")[1]
 
 
-@query("overlapping_spans_resolved", f"SELECT case_id AS doc_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (NOT coalesce(char_start >= far, true)) AS BIGINT) AS dropped FROM (SELECT *, max(char_end) OVER (PARTITION BY case_id ORDER BY char_start, char_end DESC, entity_type, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM ({duck(B.GOLD).replace('* 40', '* 11')})) GROUP BY case_id")
+_CHAIN = """SELECT o_orderkey AS doc_id, t.k AS k, 'X' AS entity_type, cast(t.a as bigint) AS char_start, cast(t.b + CASE WHEN t.k = 2 THEN o_orderkey % 3 ELSE 0 END as bigint) AS char_end FROM {orders} CROSS JOIN (VALUES (1, 0, 5), (2, 3, 10), (3, 8, 12), (4, 20, 26), (5, 22, 25), (6, 26, 30)) AS t(k, a, b)"""
+
+
+@query("overlapping_spans_resolved", f"SELECT doc_id, CAST(k AS BIGINT) AS k, CASE k WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 5 THEN false ELSE true END AS kept FROM ({duck(_CHAIN)})")
 def overlapping_spans_resolved(spark, d):
-    spans = fixture(spark, d, B.GOLD.replace("* 40", "* 11")).withColumnRenamed("case_id", "doc_id")
-    return TR.resolve(spans).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("kept")).alias("dropped"))
+    """A chain of three whose middle is the longest, one span inside another, and one that only touches."""
+    return TR.resolve(fixture(spark, d, _CHAIN)).select("doc_id", F.col("k").cast("long").alias("k"), "kept")
 
 
 @query("life_cycle_errors", """SELECT job_id, CAST(count(*) AS BIGINT) AS bad FROM (SELECT user_id AS job_id, event_id % 3 AS s, lag(event_id % 3) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NOT NULL AND NOT (p = 0 AND s = 1 OR p = 1 AND s = 2) GROUP BY job_id""")
@@ -433,10 +426,64 @@ def life_cycle_errors(spark, d):
 @query("nearest_region", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 2000")
 def nearest_region(spark, d):
     """Candidates within reach of each other in one region: an equi join with a range condition."""
-    s = table(spark, d, "supplier")
-    a, b = s.alias("a"), s.alias("b")
-    near = (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")) & (F.abs(F.col("a.s_acctbal") - F.col("b.s_acctbal")) < 2000)
-    return a.join(b, near).select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("region"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("place"))
+    return EV.within_reach(s, "region", "id", "place", 2000.0)
+
+
+@query("region_assignment", "SELECT CAST(s_nationkey AS BIGINT) AS scope, CAST(min(s_suppkey) AS BIGINT) AS l, CAST(1000000 + min(s_suppkey) AS BIGINT) AS r, CAST(1 AS DOUBLE) AS score FROM supplier GROUP BY s_nationkey")
+def region_assignment(spark, d):
+    """Decoded codes to reviewed regions, one to one: of the codes that claim a nation's one region, the best score gets it."""
+    s = table(spark, d, "supplier").withColumn("first", F.min("s_suppkey").over(Window.partitionBy("s_nationkey")))
+    pairs = s.select(F.col("s_nationkey").cast("long").alias("scope"), F.col("s_suppkey").alias("l"), (F.col("first") + 1_000_000).alias("r"), F.when(F.col("s_suppkey") == F.col("first"), 1.0).otherwise(0.5).alias("score"))
+    return EV.assign(pairs, "l", "r", "score", "scope")
+
+
+_SPANS = "SELECT DISTINCT l_orderkey AS case_id, 'X' AS entity_type, cast(l_linenumber * 40 as bigint) AS char_start, cast(l_linenumber * 40 + 10 as bigint) AS char_end, concat('v', cast(l_linenumber as string)) AS value FROM {lineitem}"
+
+
+@query("relaxed_coverage", f"""WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 20), g AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_discount > 0.03), b AS (SELECT count(*) AS n FROM p JOIN g USING (l_orderkey, l_linenumber))
+SELECT n AS tp_pred, (SELECT count(*) FROM p) AS n_pred, n AS tp_gold, (SELECT count(*) FROM g) AS n_gold, round(n / (SELECT count(*) FROM p)::DOUBLE, 6) AS precision, round(n / (SELECT count(*) FROM g)::DOUBLE, 6) AS recall,
+round(2 * (n / (SELECT count(*) FROM p)::DOUBLE) * (n / (SELECT count(*) FROM g)::DOUBLE) / (n / (SELECT count(*) FROM p)::DOUBLE + n / (SELECT count(*) FROM g)::DOUBLE), 6) AS f1 FROM b""")
+def relaxed_coverage(spark, d):
+    return EV.relaxed_coverage(fixture(spark, d, _SPANS + " WHERE l_quantity > 20"), fixture(spark, d, _SPANS + " WHERE l_discount > 0.03"))
+
+
+_VALUE = "SELECT l_orderkey % 300 AS case_id, cast(l_partkey % 30 as string) AS value"
+_NEEDS = _VALUE + ", concat('a', cast(l_suppkey % 2 as string)) AS annotator, CASE l_linenumber % 3 WHEN 0 THEN 'DIRECT' WHEN 1 THEN 'QUASI' ELSE 'NO_MASK' END AS need FROM {lineitem} WHERE l_quantity < 30"
+
+
+@query("annotator_scores", f"""WITH p AS (SELECT case_id, value, count(*) AS a FROM ({duck(_VALUE + " FROM {lineitem} WHERE l_tax > 0.04")}) GROUP BY ALL), gold AS ({duck(_NEEDS)}), w AS (SELECT annotator, case_id, value, count(*) AS b, count(*) FILTER (need = 'DIRECT') > 0 AS direct FROM gold WHERE need <> 'NO_MASK' GROUP BY ALL),
+t AS (SELECT w.*, least(b, coalesce(a, 0)) AS tp FROM w LEFT JOIN p USING (case_id, value)), s AS (SELECT sum(tp) AS tp, sum(b) AS ng, sum(tp) FILTER (direct) / (sum(b) FILTER (direct))::DOUBLE AS dr, sum(tp) FILTER (NOT direct) / (sum(b) FILTER (NOT direct))::DOUBLE AS qr, (SELECT sum(a) FROM (SELECT DISTINCT annotator, case_id FROM gold) JOIN p USING (case_id)) AS np FROM t),
+f AS (SELECT count(a) / count(*)::DOUBLE AS r FROM (SELECT DISTINCT annotator, case_id, value FROM gold WHERE need = 'NO_MASK') LEFT JOIN p USING (case_id, value))
+SELECT CAST(tp AS BIGINT) AS tp, CAST(np - tp AS BIGINT) AS fp, CAST(ng - tp AS BIGINT) AS fn, {_prf_cols("tp", "(np - tp)", "(ng - tp)")}, round(dr, 6) AS direct_recall, round(qr, 6) AS quasi_recall, round(r, 6) AS no_mask_rate FROM s, f""")
+def annotator_scores(spark, d):
+    return EV.annotator_scores(fixture(spark, d, _VALUE + " FROM {lineitem} WHERE l_tax > 0.04"), fixture(spark, d, _NEEDS))
+
+
+@query("unit_breakdown", "SELECT source, lang AS kind, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(count(*) FILTER (trim(text) = '') AS BIGINT) AS empty FROM documents GROUP BY ALL")
+def unit_breakdown(spark, d):
+    return EV.unit_breakdown(table(spark, d, "documents").select("source", F.col("lang").alias("kind"), "text"))
+
+
+_ANN = "SELECT c_custkey AS doc_id, cast(0 as bigint) AS char_start, cast(5 as bigint) AS char_end, 'AGE' AS entity_type, c_name AS plaintext, 0.9D AS confidence, 'NOT_REQUIRED' AS review_status, 'age' AS context_label FROM {customer}"
+
+
+@query("annotation_rows", "SELECT c_custkey AS doc_id, CAST(length(c_name) AS BIGINT) AS n_chars, CASE WHEN c_custkey % 2 = 0 THEN 'MASK' ELSE 'RETAIN' END AS action, c_custkey % 2 = 0 AS transformed FROM customer")
+def annotation_rows(spark, d):
+    m = fixture(spark, d, _ANN)
+    acted = m.filter("doc_id % 2 = 0").select("doc_id", "char_start", "char_end", "entity_type", F.lit("MASK").alias("action"), F.lit("x").alias("replacement"))
+    return TR.annotations(m, acted).select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "action", "transformed")
+
+
+@query("approved_phrases", "SELECT c_custkey AS doc_id, c_custkey % 2 = 0 AS leaked FROM customer")
+def approved_phrases(spark, d):
+    """A value inside an approved replacement is no leak; the same value elsewhere is one."""
+    c = table(spark, d, "customer").withColumn("doc_id", F.col("c_custkey"))
+    t = c.select("doc_id", F.concat(F.lit("office of "), "c_mktsegment", F.lit(" lane"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(", "), "c_mktsegment")).otherwise("")).alias("protected"))
+    known_ = c.select("doc_id", F.lit("EMPLOYER").alias("entity_type"), F.col("c_mktsegment").alias("plaintext"))
+    approved = c.select("doc_id", F.concat(F.lit("office of "), "c_mktsegment", F.lit(" lane")).alias("replacement"))
+    hits = VG.leaks(known_, VG.without_phrases(t, approved)).select("doc_id").distinct().withColumn("leaked", F.lit(True))
+    return c.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("leaked", F.lit(False)).alias("leaked"))
 
 
 @query("span_iou", f"SELECT case_id, char_start, round(greatest(0, least(char_end, char_start + 15) - greatest(char_start, char_start + 3)) / ((char_end - char_start) + 12 - greatest(0, least(char_end, char_start + 15) - greatest(char_start, char_start + 3)))::DOUBLE, 6) AS iou FROM ({duck(B.GOLD)})")
@@ -458,7 +505,6 @@ def rtf_round_trip(spark, d):
     """Every document written as RTF and read back."""
     from ..sources import office
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     made = table(spark, d, "documents").select("doc_id", F.lit("a.rtf").alias("name"), office.rtf_column(F.col("text")).alias("content"))
     return office.texts(made).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
@@ -495,7 +541,7 @@ def matched_spans(spark, d):
 
 @query("synthetic_twin")
 def synthetic_twin(spark, d):
-    return TR.twin(table(spark, d, "customer"), "c_custkey")
+    return TR.twin(table(spark, d, "customer"), "c_custkey", b"a salt for this query")
 
 
 @query("sanitized_texts")
@@ -510,5 +556,4 @@ def verification_gates(spark, d):
     """All gates of text over a small output with planted faults."""
     k, t = known(spark, d), texts(spark, d)
     spans = k.join(t.select("doc_id", "text"), "doc_id").withColumn("char_start", F.expr("locate(plaintext, text) - 1")).withColumn("char_end", F.col("char_start") + F.length("plaintext")).drop("text")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return VG.run(t, k, k, spans, level=2, rescan=lambda x: detect.mentions(x.select("doc_id", F.col("protected").alias("text"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as T
@@ -51,10 +51,12 @@ def ipv4_like_phone(spark, d):
     return found.select("doc_id", "plaintext", F.length(V.digits(F.col("plaintext"))).between(10, 15).alias("phone_like"))
 
 
-@query("date_mentions", "SELECT o_orderkey AS doc_id, unnest(regexp_extract_all(strftime(o_orderdate, 'filed %Y-%m-%d and %d.%m.%Y'), '[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}')) AS plaintext FROM orders")
+@query("date_mentions", "SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS plaintext FROM orders UNION ALL SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') FROM orders")
 def date_mentions(spark, d):
+    """The dates that the broad family finds in two forms of each order's date."""
     text = F.concat(F.lit("filed "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" and "), F.date_format("o_orderdate", "dd.MM.yyyy"))
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")).select("doc_id", F.explode(F.expr("regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}', 0)")).alias("plaintext"))
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    return detect.mentions(docs, only=("broad",)).filter("entity_type = 'GENERIC_DATE'").select("doc_id", "plaintext")
 
 
 def value_query(name: str, spark_expr, duck_expr: str) -> None:
@@ -240,8 +242,8 @@ def top_risk_paths(spark, d):
 SELECT c_mktsegment, c_custkey % 2 = 0 AS age, n_regionkey < 3 AS place, c_acctbal > 0 AS job FROM customer JOIN nation ON c_nationkey = n_nationkey) GROUP BY c_mktsegment""")
 def same_record_combos(spark, d):
     rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    every = (F.col("c_custkey") % 2 == 0) & (F.col("n_regionkey") < 3) & (F.col("c_acctbal") > 0)
-    return rows.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("records"), F.count_if(every).alias("linked"), F.bool_or(every).alias("linkable"))
+    flags = rows.select(F.col("c_mktsegment").alias("segment"), (F.col("c_custkey") % 2 == 0).alias("age"), (F.col("n_regionkey") < 3).alias("place"), (F.col("c_acctbal") > 0).alias("job"))
+    return G.same_record_combos(flags, "segment", ["age", "place", "job"])
 
 
 @query("risk_by_source", f"""WITH m AS (SELECT doc_id, 'EMAIL' AS t, lower(v) AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{B.EMAIL}')) AS v FROM documents)
@@ -299,19 +301,4 @@ def policy_rules(spark, d):
 @query("detect_mentions")
 def detect_mentions(spark, d):
     """All detector families and fusion over the corpus; not expressible in SQL."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     return detect.mentions(table(spark, d, "documents").select("doc_id", "text"))
-
-
-@query("label_below_value", """WITH l AS (SELECT c_custkey AS doc_id, k AS line_no, CASE k % 3 WHEN 0 THEN 'City:' WHEN 1 THEN CASE WHEN c_custkey % 4 = 0 THEN 'x' ELSE 'Town ' || CAST(c_nationkey AS VARCHAR) END ELSE 'Leeds' END AS text FROM customer CROSS JOIN range(0, 6) t(k))
-SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CASE WHEN length(n1) >= 2 AND n1 <> 'City:' THEN n1 WHEN n1 <> 'City:' AND length(n2) >= 2 AND n2 <> 'City:' THEN n2 END AS value FROM (
-SELECT *, lead(text, 1) OVER w AS n1, lead(text, 2) OVER w AS n2 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)) WHERE text = 'City:'""")
-def label_below_value(spark, d):
-    """The value of a label alone on its line: the first good one of the next lines, not past another label."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(5))).alias("line_no")
-    text = F.when(F.col("line_no") % 3 == 0, "City:").when(F.col("line_no") % 3 == 1, F.when(F.col("doc_id") % 4 == 0, "x").otherwise(F.concat(F.lit("Town "), F.col("c_nationkey").cast("string")))).otherwise("Leeds")
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), "c_nationkey", k).withColumn("text", text)
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    rows = rows.withColumn("n1", F.lead("text", 1).over(w)).withColumn("n2", F.lead("text", 2).over(w)).filter("text = 'City:'")
-    good = lambda c: (F.length(c) >= 2) & (F.col(c) != "City:")
-    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.when(good("n1"), F.col("n1")).when((F.col("n1") != "City:") & good("n2"), F.col("n2")).alias("value"))

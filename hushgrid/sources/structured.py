@@ -202,3 +202,9 @@ def summary(cell_rows: DataFrame) -> DataFrame:
     """Sheets, records, fields and a hash of the sorted headers of each file."""
     names = F.array_sort(F.collect_set("header"))
     return cell_rows.filter("error is null").groupBy("doc_id").agg(F.count_distinct("sheet").alias("sheets"), F.count_distinct("sheet", "record").alias("records"), F.count_distinct("sheet", "header").alias("fields"), F.sha2(F.to_json(names), 256).alias("schema_sha256"))
+
+
+def dedupe_headers(columns: DataFrame, sheet: str, order: str, name: str) -> DataFrame:
+    """``columns`` with ``header``: names that a sheet repeats, in any case, get #2, #3 ... in order; as ``headers`` does for one list."""
+    n = F.row_number().over(Window.partitionBy(sheet, F.lower(name)).orderBy(order))
+    return columns.withColumn("header", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("#"), n.cast("string"))))

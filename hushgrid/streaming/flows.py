@@ -7,7 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -41,7 +41,8 @@ def retention(jobs: DataFrame, lateness: str = "1 minute") -> DataFrame:
 def ledger(events: DataFrame) -> DataFrame:
     """Each job's events as links of a hash chain; its state is the last number and hash.
 
-    Events of one trigger are taken in order of time; one older than what is already chained is refused.
+    Events of one trigger are taken in order of time. One older than what is already chained cannot take its place
+    any more: it is chained as it comes, with ``late`` true, so nothing that happened is missing from the ledger.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -49,17 +50,16 @@ def ledger(events: DataFrame) -> DataFrame:
         rows = []
         for r in pd.concat(list(batches)).sort_values(["ts", "event_type"]).itertuples():
             at = r.ts.value // 1000
-            if at < last:
-                continue
-            number, last = number + 1, at
+            late = at < last
+            number, last = number + 1, max(at, last)
             body = json.dumps({"details": r.details, "event_type": r.event_type, "prev_hash": prev, "sequence": number, "ts": at}, sort_keys=True, separators=(",", ":"))
             own = hashlib.sha256(body.encode()).hexdigest()
-            rows.append((key[0], number, r.event_type, r.ts, r.details, prev, own))
+            rows.append((key[0], number, r.event_type, r.ts, r.details, prev, own, late))
             prev = own
         state.update((number, prev, last))
-        yield pd.DataFrame(rows, columns=["job_id", "sequence", "event_type", "ts", "details", "prev_hash", "event_hash"])
+        yield pd.DataFrame(rows, columns=["job_id", "sequence", "event_type", "ts", "details", "prev_hash", "event_hash", "late"])
 
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id string, sequence long, event_type string, ts timestamp, details string, prev_hash string, event_hash string", "number long, prev string, last long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("job_id").applyInPandasWithState(step, "job_id string, sequence long, event_type string, ts timestamp, details string, prev_hash string, event_hash string, late boolean", "number long, prev string, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def tumbling(events: DataFrame, width: str = "5 minutes", lateness: str = "10 minutes") -> DataFrame:
@@ -94,9 +94,21 @@ LIFE = {"CREATED": ("UPLOADED", "DESTROYED", "FAILED"), "UPLOADED": ("ANALYSED",
 
 def bad_transitions(history: DataFrame) -> DataFrame:
     """Steps of a job (job_id, ts, state) that its life does not allow."""
-    from pyspark.sql import Window
-
     prev = F.lag("state").over(Window.partitionBy("job_id").orderBy("ts"))
     allowed = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)).cast("array<string>") for kv in LIFE.items() for x in kv])
     marked = history.withColumn("prev", prev)
     return marked.filter(F.col("prev").isNotNull() & ~F.array_contains(F.element_at(allowed, F.col("prev")), F.col("state")))
+
+
+def expired(events: DataFrame, job: str, ttl_s: int, grace_s: int = 0) -> DataFrame:
+    """job_id, deadline: jobs whose time has run out, in batch; now is the last event's time less ``grace_s``. events: job, ts."""
+    now = events.agg((F.unix_timestamp(F.max("ts")) - grace_s).alias("now"))  # one row
+    jobs = events.groupBy(F.col(job).alias("job_id")).agg((F.unix_timestamp(F.min("ts")) + ttl_s).alias("deadline"))
+    return jobs.crossJoin(F.broadcast(now)).filter("deadline <= now").drop("now")
+
+
+def novel_frames(frames: DataFrame, video: str, order: list[str], signal: str, least: float) -> DataFrame:
+    """Frames whose ``signal`` differs from both neighbours by ``least``; the first and last of a video have one neighbour only and are left out."""
+    w = Window.partitionBy(video).orderBy(*order)
+    step = lambda other: F.abs(F.col(signal) - other.over(w))
+    return frames.withColumn("_a", step(F.lag(signal))).withColumn("_b", step(F.lead(signal))).filter((F.col("_a") >= least) & (F.col("_b") >= least)).drop("_a", "_b")
