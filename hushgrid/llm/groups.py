@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Links that a file of a round holds, about, and the fewest files: rounds of few links are not spread over many small files.
+FILE_LINKS, FEWEST = 50_000, 6
 #: Parts that the rows of one hub or group are split into, wherever they are joined with the one row that it has.
 SALTS = 8
 
@@ -26,6 +28,7 @@ def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataF
     folder. A hub's neighbours are split among tasks.
     """
     edges = common.stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    files = max(FEWEST, -(-edges.count() // FILE_LINKS))
     for _ in range(rounds):
         # large star: each node's larger neighbours go to the least of the node and its neighbours
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
@@ -35,7 +38,7 @@ def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataF
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = join_split(large, low, "u", "v")
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.toDF("u", "v")).filter("u <> v").distinct()
-        edges = common.stored(small, "edges")
+        edges = common.stored(small.coalesce(files), "edges")
         # at the end every node has one edge, to its root, and no root has one
         if not edges.groupBy("u").count().filter("count > 1").limit(1).count() and not edges.select(F.col("v").alias("u")).join(edges, "u", "left_semi").limit(1).count():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
