@@ -28,7 +28,7 @@ NEIGHBOURS = 25
 #: Documents of one product with the labelled vectors.
 BLOCK = 256
 #: Words of which a worker remembers the columns, and characters of the longest of them.
-CACHED, LONGEST = 100_000, 40
+CACHED, LONGEST = 30_000, 40
 
 _RUN = re.compile(r"(.)\1+")
 _SENTENCE = re.compile(r"[.!?]\s+")
