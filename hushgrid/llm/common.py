@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -28,6 +29,16 @@ def parts(batch, values: pa.Array, rows: int = PART_ROWS, size: int = PART_BYTES
         stop = max(at + 1, min(at + rows, len(values), int(np.searchsorted(ends, before + size, "right"))))
         yield batch.slice(at, stop - at)
         at, before = stop, int(ends[stop - 1])
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers are reused, and what one stage freed is not there for the JVM's next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def by_parts(fn: Callable[..., pa.Array], rows: int = PART_ROWS) -> Callable[..., pa.Array]:
