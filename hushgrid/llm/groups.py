@@ -1,4 +1,8 @@
-"""Groups that links join: connected components, and the least document of each."""
+"""Groups that links join: connected components, and the least document of each.
+
+Nodes and links grow with the corpus, so all joins are merged at every size: a small file of them is a large table in the
+driver's memory, which a broadcast is built in.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +21,7 @@ def join_split(many: DataFrame, one: DataFrame, key: str, by: str) -> DataFrame:
     """``many`` joined with ``one`` (a row for each ``key``): rows of one key are dealt by ``by`` to ``SALTS`` tasks."""
     many = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
     one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return many.join(one, [key, "_salt"]).drop("_salt")
+    return many.join(one.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -40,7 +44,7 @@ def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataF
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.toDF("u", "v")).filter("u <> v").distinct()
         edges = common.stored(small.coalesce(files), "edges")
         # at the end every node has one edge, to its root, and no root has one
-        if not edges.groupBy("u").count().filter("count > 1").limit(1).count() and not edges.select(F.col("v").alias("u")).join(edges, "u", "left_semi").limit(1).count():
+        if not edges.groupBy("u").count().filter("count > 1").limit(1).count() and not edges.select(F.col("v").alias("u")).join(edges.hint("merge"), "u", "left_semi").limit(1).count():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError(f"components not settled after {rounds} rounds")
 
@@ -51,7 +55,7 @@ def least_of_groups(prints: DataFrame, reached: DataFrame) -> DataFrame:
     Only those that a link joins are grouped, and the rows of a group are split among tasks.
     """
     members = reached.select(F.col("node").alias("fp"), "root").union(reached.select(F.col("root").alias("fp"), "root").distinct())
-    linked = prints.join(members, "fp")
+    linked = prints.join(members.hint("merge"), "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = join_split(linked, least, "root", "fp").select("fp", "component_id")
-    return prints.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    return prints.join(labels.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))

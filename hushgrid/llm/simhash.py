@@ -133,7 +133,7 @@ def near_links(prints: DataFrame, threshold: int = 4, tile: int = TILE) -> DataF
     spread = replicate(prints, threshold)
     # anchors that a single fingerprint reaches need no comparing; the count also tells the crowded ones
     sizes = spread.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    placed = spread.join(sizes, "anchor")
+    placed = spread.join(sizes.hint("merge"), "anchor")
     parts = F.ceil(F.col("n") / tile).cast("int")
     mine = F.pmod(F.xxhash64("fp"), parts.cast("long")).cast("int")
     others = F.when(parts > 1, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     prints = common.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     # components over fingerprints; their order does not matter, so each gets the least document id afterwards
     labels = least_of_groups(prints, components(spark, near_links(prints, threshold)))
-    out = rows.join(labels, "fp")
+    out = rows.join(labels.hint("merge"), "fp")  # a row for each fingerprint: never broadcast
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

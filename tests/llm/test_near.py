@@ -113,3 +113,15 @@ def test_stage_keeps_one_of_each_group(spark, docs, rows):
     want = {c for c in plain_components(fps, [r[0] for r in rows]) if c is not None}
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(want)
     assert set(kept[0].asDict()) == set(docs.columns)
+
+
+def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
+    """A broadcast is built in the driver's memory, and small files may hold large tables of fingerprints."""
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    stored = simhash.common.stored
+    monkeypatch.setattr(simhash.common, "stored", lambda df, name: plans.append(plan(df)) or stored(df, name))
+    df = spark.createDataFrame([(k, f"a b c d e f g h {k % 7}") for k in range(40)], "doc_id bigint, text string")
+    plans.append(plan(simhash.near_duplicates(df)))
+    assert len(plans) > 3 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
