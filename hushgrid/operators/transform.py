@@ -67,7 +67,7 @@ def resolve(spans: DataFrame) -> DataFrame:
 def splice(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Documents with their spans replaced, in one grouping on doc_id; spans must not overlap."""
     pieces = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("char_start").cast("int").alias("start"), F.col("char_end").cast("int").alias("end"), "replacement"))).alias("spans"))
-    return docs.join(pieces, "doc_id", "left").withColumn("protected", F.when(F.col("spans").isNull(), F.col("text")).otherwise(V.splice(F.col("text"), F.col("spans")))).drop("spans")
+    return docs.join(pieces.hint("merge"), "doc_id", "left").withColumn("protected", F.when(F.col("spans").isNull(), F.col("text")).otherwise(V.splice(F.col("text"), F.col("spans")))).drop("spans")
 
 
 # Ends of company names that a short form leaves out.
@@ -133,7 +133,7 @@ def sanitize(docs: DataFrame, spans: DataFrame) -> DataFrame:
         kinds = (pa.string(), pa.int32(), pa.int32())
         return pa.StructArray.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], names=["protected", "written", "propagated"])
 
-    return docs.select("doc_id", "text").join(listed, "doc_id", "left").withColumn("r", run("text", "spans")).select("doc_id", "text", "r.*")
+    return docs.select("doc_id", "text").join(listed.hint("merge"), "doc_id", "left").withColumn("r", run("text", "spans")).select("doc_id", "text", "r.*")
 
 
 def _in_cell() -> Column:

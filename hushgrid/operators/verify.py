@@ -2,6 +2,8 @@
 
 protected: doc_id, text (original), protected. known: doc_id, entity_id, entity_type, plaintext (what was transformed).
 Gates are independent lazy DataFrames; ``run`` unions them and ``release`` makes one aggregation a document.
+Documents, values and instructions all grow with the corpus, so joins on doc_id are merged at every size: a broadcast
+would be built in the driver's memory, and a small file of documents is a large table there.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ def gate(docs: DataFrame, failures: DataFrame | None, name: str) -> DataFrame:
         return docs.select("doc_id", F.lit(name).alias("name"), F.lit("INCONCLUSIVE").alias("status"), F.lit("not run").alias("detail"))
     n = failures.groupBy("doc_id").agg(F.count(F.lit(1)).alias("findings"))
     found = F.coalesce("findings", F.lit(0))
-    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.lit(name).alias("name"), F.when(found > 0, "FAIL").otherwise("PASS").alias("status"), F.concat(found.cast("string"), F.lit(" findings")).alias("detail"))
+    return docs.select("doc_id").join(n.hint("merge"), "doc_id", "left").select("doc_id", F.lit(name).alias("name"), F.when(found > 0, "FAIL").otherwise("PASS").alias("status"), F.concat(found.cast("string"), F.lit(" findings")).alias("detail"))
 
 
 def leaks(known: DataFrame, texts: DataFrame, text_col: str = "protected", min_digits: int = 4) -> DataFrame:
@@ -45,7 +47,7 @@ def leaks(known: DataFrame, texts: DataFrame, text_col: str = "protected", min_d
     Values of fewer than ``min_digits`` digits that are compared as bare digits would match inside any number; these
     leak only where they stand alone, as a number of their own.
     """
-    joined = known.join(texts.select("doc_id", F.col(text_col).alias("_text")), "doc_id")
+    joined = known.join(texts.select("doc_id", F.col(text_col).alias("_text")).hint("merge"), "doc_id")
     bare = F.col("entity_type").isin("PHONE", "AADHAAR_LIKE", "POSTCODE", "BUILDING_NUMBER")
     long = ~bare | (F.length(V.digits(F.col("plaintext"))) >= min_digits)
     own = V.digits(F.col("plaintext"))
@@ -56,7 +58,7 @@ def leaks(known: DataFrame, texts: DataFrame, text_col: str = "protected", min_d
 def squeezed_leaks(known: DataFrame, texts: DataFrame, text_col: str = "protected") -> DataFrame:
     """Another reading of the output: letters and digits alone, white space and marks gone."""
     squeeze = lambda c: F.regexp_replace(F.lower(c), r"(?U)[\W_]+", "")
-    joined = known.join(texts.select("doc_id", squeeze(F.col(text_col)).alias("_text")), "doc_id")
+    joined = known.join(texts.select("doc_id", squeeze(F.col(text_col)).alias("_text")).hint("merge"), "doc_id")
     value = squeeze(F.col("plaintext"))
     return joined.filter((F.length(value) >= 6) & F.col("_text").contains(value)).drop("_text")
 
@@ -82,12 +84,12 @@ def fragments(known: DataFrame, lines: DataFrame) -> DataFrame:
     own = lines.groupBy("doc_id").agg(joined(V.digits(F.col("text"))).alias("_digits"), joined(V.alphanumeric(F.col("text"))).alias("_alnum"), joined(F.array_join(mails, "\n")).alias("_mails"), joined(F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"\P{L}+", " "), F.lit(" "))).alias("_words"))
     where = F.when(digit, F.col("_digits")).when(mail, F.col("_mails")).otherwise(F.col("_alnum"))
     hit = F.when(person, F.exists("pieces", lambda p: F.contains(F.col("_words"), F.concat(F.lit(" "), p, F.lit(" "))))).otherwise(F.exists("pieces", lambda p: F.contains(where, p)))
-    return values.join(own, "doc_id").filter(hit).select("doc_id", "entity_type", "plaintext").distinct()
+    return values.join(own.hint("merge"), "doc_id").filter(hit).select("doc_id", "entity_type", "plaintext").distinct()
 
 
 def uncovered(expected: DataFrame, instructions: DataFrame) -> DataFrame:
     """Entities that should have been transformed and were not."""
-    return expected.join(instructions.select("doc_id", "entity_id"), ["doc_id", "entity_id"], "left_anti")
+    return expected.join(instructions.select("doc_id", "entity_id").hint("merge"), ["doc_id", "entity_id"], "left_anti")
 
 
 def inconsistent(instructions: DataFrame, unique_aliases: bool = False) -> DataFrame:
@@ -102,7 +104,7 @@ def inconsistent(instructions: DataFrame, unique_aliases: bool = False) -> DataF
 def missing_replacements(instructions: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct replacements that the output does not show."""
     wanted = instructions.select("doc_id", "replacement").distinct()
-    return wanted.join(texts.select("doc_id", "protected"), "doc_id").filter(~F.col("protected").contains(F.col("replacement"))).select("doc_id", "replacement")
+    return wanted.join(texts.select("doc_id", "protected").hint("merge"), "doc_id").filter(~F.col("protected").contains(F.col("replacement"))).select("doc_id", "replacement")
 
 
 def anchors(texts: DataFrame, spans: DataFrame, least: float = 0.90) -> DataFrame:
@@ -111,12 +113,12 @@ def anchors(texts: DataFrame, spans: DataFrame, least: float = 0.90) -> DataFram
     Words count as often as they occur, at most as often as the output has them. Fewer than five pass.
     """
     outside = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("char_start").cast("int").alias("start"), F.col("char_end").cast("int").alias("end"), F.lit(" ").alias("replacement")))).alias("spans"))
-    both = texts.join(outside, "doc_id", "left")
+    both = texts.join(outside.hint("merge"), "doc_id", "left")
     bare = F.when(F.col("spans").isNull(), F.col("text")).otherwise(V.splice(F.col("text"), F.col("spans")))
     words = lambda df, col: df.select("doc_id", F.explode(F.expr(f"regexp_extract_all(lower({col}), '[a-z]{{4,}}', 0)")).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     before = words(both.select("doc_id", bare.alias("bare")), "bare")
     after = words(texts, "protected").withColumnRenamed("n", "m")
-    out = before.join(after, ["doc_id", "word"], "left").groupBy("doc_id").agg(F.sum("n").alias("anchors"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("preserved"))
+    out = before.join(after.hint("merge"), ["doc_id", "word"], "left").groupBy("doc_id").agg(F.sum("n").alias("anchors"), F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("preserved"))
     return out.withColumn("ok", (F.col("anchors") < 5) | (F.col("preserved") >= F.col("anchors") * least))
 
 
@@ -125,13 +127,13 @@ def changed_outside(texts: DataFrame, instructions: DataFrame) -> DataFrame:
     from .transform import sanitize
 
     made = sanitize(texts.select("doc_id", "text"), instructions).select("doc_id", F.col("protected").alias("_made"))
-    return texts.select("doc_id", "protected").join(made, "doc_id").filter("_made <> protected").select("doc_id")
+    return texts.select("doc_id", "protected").join(made.hint("merge"), "doc_id").filter("_made <> protected").select("doc_id")
 
 
 def changed_cells(before: DataFrame, after: DataFrame, targets: DataFrame, key: list[str]) -> DataFrame:
     """Cells that differ and were not to be touched."""
-    both = before.select(*key, F.col("value").alias("old")).join(after.select(*key, F.col("value").alias("new")), key, "full")
-    return both.filter(~F.col("old").eqNullSafe(F.col("new"))).join(targets.select(*key), key, "left_anti")
+    both = before.select(*key, F.col("value").alias("old")).join(after.select(*key, F.col("value").alias("new")).hint("merge"), key, "full")
+    return both.filter(~F.col("old").eqNullSafe(F.col("new"))).join(targets.select(*key).hint("merge"), key, "left_anti")
 
 
 def formula_cells(cells: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def formula_cells(cells: DataFrame) -> DataFrame:
 
 def hidden_markup(known: DataFrame, raw: DataFrame) -> DataFrame:
     """Known values in the raw bytes of an output, as UTF-8 or UTF-16, or destinations of RTF that show nothing."""
-    joined = known.join(raw.select("doc_id", F.hex("content").alias("_hex")), "doc_id")
+    joined = known.join(raw.select("doc_id", F.hex("content").alias("_hex")).hint("merge"), "doc_id")
     utf16 = F.hex(F.encode("plaintext", "UTF-16LE"))
     found = F.col("_hex").contains(F.hex(F.encode("plaintext", "UTF-8"))) | F.col("_hex").contains(utf16)
     return joined.filter((F.length("plaintext") >= 4) & found).drop("_hex")
@@ -179,7 +181,7 @@ def run(texts: DataFrame, known: DataFrame, expected: DataFrame, instructions: D
     again = None
     if rescan is not None:
         allowed = instructions.select("doc_id", F.lower("replacement").alias("_v")).distinct()
-        again = rescan(texts).filter(F.col("entity_type").isin(*FRAGMENT)).withColumn("_v", F.lower("plaintext")).join(allowed, ["doc_id", "_v"], "left_anti")
+        again = rescan(texts).filter(F.col("entity_type").isin(*FRAGMENT)).withColumn("_v", F.lower("plaintext")).join(allowed.hint("merge"), ["doc_id", "_v"], "left_anti")
     # an approved replacement may hold a value, which is no leak
     blanked = without_phrases(texts, instructions.select("doc_id", "replacement"))
     bytes_ = blanked.select("doc_id", F.encode("protected", "UTF-8").alias("content"))
@@ -212,7 +214,7 @@ def without_phrases(texts: DataFrame, approved: DataFrame, text_col: str = "prot
     """
     phrases = approved.filter("replacement <> ''").groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_set(F.struct(F.length("replacement").alias("n"), F.col("replacement").alias("p"))))).alias("_phrases"))
     blank = F.aggregate("_phrases", F.col(text_col), lambda text, x: F.replace(text, x["p"], F.lit(" \u0000 ")))
-    out = texts.join(phrases, "doc_id", "left")
+    out = texts.join(phrases.hint("merge"), "doc_id", "left")
     return out.withColumn(text_col, F.when(F.col("_phrases").isNull(), F.col(text_col)).otherwise(blank)).drop("_phrases")
 
 
@@ -267,12 +269,12 @@ def run_table(before: DataFrame, after: DataFrame, known: DataFrame, expected: D
     replacement). Texts of the gates that read texts are the cells, a line each.
     """
     as_text = lambda df, name: df.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record", "header", "value"))), lambda c: F.coalesce(c["value"], F.lit(""))), "\n").alias(name))
-    texts = as_text(before, "text").join(as_text(after, "protected"), "doc_id")
+    texts = as_text(before, "text").join(as_text(after, "protected").hint("merge"), "doc_id")
     docs = texts.select("doc_id")
     again = None
     if rescan is not None:
         allowed = instructions.select("doc_id", F.lower("replacement").alias("_v")).distinct()
-        again = rescan(texts).filter(F.col("entity_type").isin(*FRAGMENT)).withColumn("_v", F.lower("plaintext")).join(allowed, ["doc_id", "_v"], "left_anti")
+        again = rescan(texts).filter(F.col("entity_type").isin(*FRAGMENT)).withColumn("_v", F.lower("plaintext")).join(allowed.hint("merge"), ["doc_id", "_v"], "left_anti")
     blanked = without_phrases(texts, instructions.select("doc_id", "replacement"))
     headers = lambda df: df.select("doc_id", "header").distinct()
     schema = headers(before).exceptAll(headers(after)).union(headers(after).exceptAll(headers(before)))

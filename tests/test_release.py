@@ -205,3 +205,12 @@ def test_gates_of_a_table(spark):
     assert {k for k, v in bad.items() if v == "FAIL"} >= {"independent_extraction", "structured_hidden_channel_scan", "structured_cell_integrity"}
     kept = VG.to_check(known.withColumn("review_status", F.lit("PROTECT")), spark.createDataFrame([("PERSON_NAME", "RETAIN")], "entity_type string, action string"))
     assert kept.count() == 0
+
+
+def test_documents_are_never_broadcast(spark):
+    """A broadcast is built in the driver's memory, and a small file of documents is a large table there."""
+    docs = spark.createDataFrame([(1, TEXT, TEXT)], "doc_id bigint, text string, protected string")
+    spans = spark.createDataFrame([(1, "e", "PERSON_NAME", "Asha Verma", "[P]", 6, 16)], "doc_id bigint, entity_id string, entity_type string, plaintext string, replacement string, char_start int, char_end int")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (VG.anchors(docs, spans), TR.splice(docs.select("doc_id", "text"), spans), VG.run(docs, spans, spans, spans, 2, lambda x: spans)):
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
