@@ -362,7 +362,8 @@ def annotator_scores(pred: DataFrame, gold: DataFrame) -> DataFrame:
     """Micro scores over annotators, recall of direct and quasi identifiers, and how often a value that needs no mask was hit.
 
     pred: case_id, value. gold: case_id, annotator, value, need (DIRECT, QUASI or NO_MASK). Each annotator's values are
-    compared as multisets with the case's predictions; values that need no mask count for the last rate alone.
+    compared as multisets with the case's predictions; values that need no mask count for the last rate alone. As in the
+    query's SQL, a recall without a gold value of its kind is null, and the last rate without a value is not a number.
     """
     keys = ["case_id", "value"]
     seen = pred.groupBy(*keys).agg(F.count(F.lit(1)).alias("a"))
@@ -376,8 +377,10 @@ def annotator_scores(pred: DataFrame, gold: DataFrame) -> DataFrame:
     sums = both.agg(total("tp").alias("tp"), total("b").alias("n_gold"), total(F.when(direct, F.col("tp"))).alias("tp_d"), total(F.when(direct, F.col("b"))).alias("n_d"), total(F.when(~direct, F.col("tp"))).alias("tp_q"), total(F.when(~direct, F.col("b"))).alias("n_q"))
     none = gold.filter("need = 'NO_MASK'").select("annotator", *keys).distinct().join(seen, keys, "left").agg(F.count(F.lit(1)).alias("n_free"), F.count("a").alias("hit_free"))
     one = sums.crossJoin(n_pred).crossJoin(none)  # one row each
+    recall = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6))
+    free = F.when(F.col("n_free") > 0, F.round(F.col("hit_free") / F.col("n_free"), 6)).otherwise(float("nan"))
     tp, fp, fn = F.col("tp"), F.col("n_pred") - F.col("tp"), F.col("n_gold") - F.col("tp")
-    return one.select("tp", fp.alias("fp"), fn.alias("fn"), *[c.alias(k) for k, c in prf(tp, fp, fn).items()], F.round(ratio(F.col("tp_d"), F.col("n_d")), 6).alias("direct_recall"), F.round(ratio(F.col("tp_q"), F.col("n_q")), 6).alias("quasi_recall"), F.round(ratio(F.col("hit_free"), F.col("n_free")), 6).alias("no_mask_rate"))
+    return one.select("tp", fp.alias("fp"), fn.alias("fn"), *[c.alias(k) for k, c in prf(tp, fp, fn).items()], recall("tp_d", "n_d").alias("direct_recall"), recall("tp_q", "n_q").alias("quasi_recall"), free.alias("no_mask_rate"))
 
 
 def assign(pairs: DataFrame, left: str, right: str, score: str, scope: str) -> DataFrame:

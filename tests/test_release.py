@@ -207,6 +207,15 @@ def test_gates_of_a_table(spark):
     assert kept.count() == 0
 
 
+def test_annotators_without_a_kind(spark):
+    pred = spark.createDataFrame([(1, "a"), (1, "b")], "case_id bigint, value string")
+    gold = spark.createDataFrame([(1, "x", "a", "DIRECT"), (1, "x", "c", "DIRECT"), (1, "x", "b", "NO_MASK")], "case_id bigint, annotator string, value string, need string")
+    got = EV.annotator_scores(pred, gold).first()
+    assert (got.tp, got.fp, got.fn, got.direct_recall, got.quasi_recall, got.no_mask_rate) == (1, 1, 1, 0.5, None, 1.0)
+    got = EV.annotator_scores(pred, gold.filter("need = 'DIRECT'").withColumn("need", F.lit("QUASI"))).first()
+    assert got.direct_recall is None and got.quasi_recall == 0.5 and got.no_mask_rate != got.no_mask_rate
+
+
 def test_documents_are_never_broadcast(spark):
     """A broadcast is built in the driver's memory, and a small file of documents is a large table there."""
     docs = spark.createDataFrame([(1, TEXT, TEXT)], "doc_id bigint, text string, protected string")
