@@ -70,3 +70,17 @@ def test_stage_drops_near_copies_beyond_four_bits(spark):
         raise AssertionError("no such pair")
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert [x.doc_id for x in simhash.stage(spark, df, "").collect()] == [0]
+
+
+def test_a_large_group_has_few_candidates(spark, monkeypatch):
+    """Near copies of one text, many of them beyond the bound from one another, cost about their number."""
+    r = random.Random(5)
+    base = [r.choice(WORDS) + str(r.randrange(50)) for _ in range(80)]
+    texts = [" ".join(f"new{k}" if j in at else w for j, w in enumerate(base)) for k in range(400) for at in [{r.randrange(80) for _ in range(2)}]]
+    rounds = []
+    verified = shingles.verified
+    monkeypatch.setattr(shingles, "verified", lambda docs, stands, pairs, least: rounds.append(pairs.select("a", "b").distinct().count()) or verified(docs, stands, pairs, least))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.doc_id: x.component_id for x in shingles.near_duplicates(df).collect()}
+    assert [got[k] for k in range(len(texts))] == plain_groups(texts)
+    assert sum(rounds) < 50 * len(texts), rounds
