@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common, token_counts
+from . import common, token_orc
 
 #: Documents a numbering group holds, about.
 GROUP_ROWS = 5_000
@@ -99,7 +99,7 @@ def pack_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", **options
     """Count the tokens of ``docs`` (doc_id, text), store the counts in the shared folder, and pack by them."""
     spark = docs.sparkSession
     kept = common.scratch(spark, "lengths")
-    docs.select("doc_id", token_counts.token_count(F.col("text"), vocabulary).alias("n_tokens")).write.parquet(kept)
+    docs.select("doc_id", token_orc.token_lengths(F.col("text"), vocabulary).alias("n_tokens")).write.parquet(kept)
     return pack(spark.read.parquet(kept), **options)
 
 

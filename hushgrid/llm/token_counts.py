@@ -81,6 +81,9 @@ def splitter() -> tuple[np.ndarray, np.ndarray]:
     return nxt, out
 
 
+#: Steps after which chunks whose start states have met are told from the others.
+LEAD = 16
+
 #: White_Space code points of Unicode; fixed values.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -112,8 +115,16 @@ def marks(codes: np.ndarray, chunk: int = 128) -> np.ndarray:
     grid = np.ascontiguousarray(grid.reshape(k, chunk).T)  # one row for each step
     flat = nxt.reshape(-1)
     state = np.repeat(np.arange(10, dtype=np.uint8)[:, None], k, axis=1)  # all start states of all chunks
-    for step in grid:
+    for step in grid[:LEAD]:
         state = flat[state * np.uint8(12) + step]
+    # most chunks have one state by now, whatever they began in; the others go on with all of them
+    met = (state == state[0]).all(axis=0)
+    some, rest = np.flatnonzero(~met), np.flatnonzero(met)
+    several, single = state[:, some], state[0, rest]
+    for step in grid[LEAD:]:
+        several = flat[several * np.uint8(12) + step[some]]
+        single = flat[single * np.uint8(12) + step[rest]]
+    state[:, some], state[:, rest] = several, single
     # inclusive scan: composed[s, i] is where state s at the very start has gone by the end of chunk i
     composed, reach = state, 1
     while reach < k:

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, token_counts
@@ -83,8 +83,8 @@ class Encoder:
             self.pool[begin : begin + len(new)] = new
             self.first = np.concatenate([self.first, begin + np.cumsum(np.concatenate(sizes))])
 
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, each text's followed by ``end_id``, and the number for each text."""
+    def pieces(self, texts: list[str]) -> tuple[dict[int, str], np.ndarray, np.ndarray]:
+        """The texts that hold a special string, by place; and for each piece of the others its number and its text's place."""
         odd = {k: t for k, t in enumerate(texts) if any(s in t for s in self.specials)}
         plain = ["" if k in odd else t for k, t in enumerate(texts)]
         where, byte, owner = token_counts.piece_starts(plain)
@@ -100,8 +100,21 @@ class Encoder:
         numbers = np.fromiter(map(self.numbers.__getitem__, pieces.dictionary.to_pylist()), dtype=np.int64, count=len(pieces.dictionary))
         index = numbers[pieces.indices.to_numpy()[real]]
         self.learn()
+        return odd, index, owner[real]
+
+    def count(self, texts: list[str]) -> np.ndarray:
+        """The number of ids of each text, without an end id."""
+        odd, index, owner = self.pieces(texts)
+        counts = np.bincount(owner, weights=np.diff(self.first)[index], minlength=len(texts)).astype(np.int64)
+        for k, text in odd.items():
+            counts[k] = len(self.whole(text))
+        return counts
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, each text's followed by ``end_id``, and the number for each text."""
+        odd, index, owner = self.pieces(texts)
         begin, sizes = self.first[index], self.first[index + 1] - self.first[index]
-        counts = np.bincount(owner[real], weights=sizes, minlength=len(texts)).astype(np.int64)
+        counts = np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64)
         at = np.cumsum(sizes) - sizes
         ids = self.pool[np.repeat(begin - at, sizes) + np.arange(int(sizes.sum()))]
         if odd:
@@ -124,6 +137,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def token_lengths(text: Column, vocabulary: str = "byte_bpe_50k.json", folder: str | None = None) -> Column:
+    """Number of ids of a text column (null: 0), each distinct piece encoded once while it stays cached."""
+
+    @F.arrow_udf("bigint")
+    def run(texts: pa.Array) -> pa.Array:
+        e = encoder(common.tokenizer_path(vocabulary, folder))
+        return common.by_parts(lambda part: pa.array(e.count([t or "" for t in part.to_pylist()]), type=pa.int64()))(texts)
+
+    return run(text)
+
+
 def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2, folder: str | None = None, bloom_fpp: float = 0.01, stripe_mb: int = 16) -> str:
     """Write ``docs`` (doc_id, text) to ORC files under ``path``; returns it.
 

@@ -112,3 +112,21 @@ def test_boundaries_by_halves_equal_every_split():
                 best = [0] + [min(best[i] + int((counts[i:j] * (lengths[j - 1] - lengths[i:j])).sum()) for i in range(j)) for j in range(1, n + 1)]
             edges = packing.boundaries(lengths, counts, k)
             assert sum(int(c) * (min(e for e in edges if e >= x) - int(x)) for x, c in zip(lengths.tolist(), counts.tolist())) == best[n]
+
+
+def test_lengths_encode_a_piece_once(monkeypatch):
+    texts = ["", "The old market, the old market's 1234 doors", "Größe \U0001f600 naïve\n\n  x", "before<|endoftext|> after", "a" * 700 + " qzjv"]
+    texts += [LIBRARY.get_added_tokens_decoder()[k].content + " behind" for k in list(LIBRARY.get_added_tokens_decoder())[:2]]
+    e = token_orc.Encoder(PATH)
+    want = [len(ids(t)) for t in texts]
+    assert e.count(texts).tolist() == want
+    monkeypatch.setattr(e, "single", None)  # all pieces are known by now
+    assert e.count(texts).tolist() == want
+    assert token_orc.Encoder(PATH, max_cached=3).count(texts[:3]).tolist() == want[:3]
+
+
+@pytest.mark.parametrize("text", ["'" * 700, "'r" * 350, "x" * 700, "!" * 300 + "'" * 300 + "ll", "it's " * 90 + "'" * 200 + "ve 1"])
+def test_marks_of_chunks_whose_states_do_not_meet(text):
+    codes = token_counts.classes()[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
+    assert token_counts.marks(codes, 32).tolist() == token_counts.marks(codes, 10_000).tolist()
+    assert token_orc.encoder(PATH).count([text]).tolist() == [len(ids(text))]
