@@ -187,10 +187,11 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: Fraction = shingles.SIMILARITY) -> DataFrame:
     """Keep one document of each group that 5-word shingles of Jaccard ``similarity`` join: the one with the least doc_id.
 
+    Links of fingerprints are the first candidates; the exact check of shingles follows, and their prefixes bring what the bits miss.
     Of rows with equal ids the one with the least text stays. Rows without an id stay only where the whole
     group has none, one of them.
     """
-    found = shingles.near_duplicates(docs, similarity)
+    found = shingles.near_duplicates(docs, similarity, sketch=fingerprint, close=near_links)
     kept = common.stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "components")
     d = docs.alias("d")
     same = lambda right: F.col("d.doc_id").eqNullSafe(F.col(f"{right}.doc_id"))

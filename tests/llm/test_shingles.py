@@ -84,3 +84,19 @@ def test_a_large_group_has_few_candidates(spark, monkeypatch):
     got = {x.doc_id: x.component_id for x in shingles.near_duplicates(df).collect()}
     assert [got[k] for k in range(len(texts))] == plain_groups(texts)
     assert sum(rounds) < 50 * len(texts), rounds
+
+
+def test_stage_goes_by_fingerprints_first(spark, monkeypatch):
+    texts = [t for t in corpus() if t]
+    seen, brought, first = [], [], []
+    near_links, alike, verified = simhash.near_links, shingles.alike, shingles.verified
+    monkeypatch.setattr(simhash, "near_links", lambda prints: seen.append({x.fp for x in prints.collect()}) or near_links(prints))
+    monkeypatch.setattr(shingles, "alike", lambda *a: brought.append(alike(*a)) or brought[0])
+    monkeypatch.setattr(shingles, "verified", lambda docs, stands, pairs, least: first.append({frozenset(x) for x in pairs.collect()}) or verified(docs, stands, pairs, least))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    groups = plain_groups(texts)
+    assert sorted(x.doc_id for x in simhash.stage(spark, df, "").collect()) == sorted(set(groups))
+    signed = {f - (1 << 64) if f >> 63 else f for f in map(simhash.fingerprint, texts)}
+    assert len(seen) == 1 and seen[0] <= signed and len(seen[0]) > len(set(groups))
+    pairs = {frozenset(x) for x in brought[0].collect()}
+    assert pairs and pairs <= first[0]
