@@ -195,15 +195,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: Fractio
     kept = common.stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "components")
     d = docs.alias("d")
     same = lambda right: F.col("d.doc_id").eqNullSafe(F.col(f"{right}.doc_id"))
-    # merged at every size: the ids that stay grow with the corpus, so they are never broadcast
+    # merged at every size: the ids that stay, and those given more than once, grow with the corpus, so they are never broadcast
     out = d.join(kept.alias("k").hint("merge"), same("k"), "left_semi")
     again = kept.filter("n > 1").select("doc_id")
     if again.limit(1).count():
         # rows of one id: the whole row's hash settles equal texts, so columns of any type may follow
         names = [F.col(f"`{c}`") for c in docs.columns]
         whole = F.struct(F.col("text"), F.xxhash64(F.to_json(F.struct(*names))).alias("h"))
-        once = out.alias("d").join(again.alias("a"), same("a"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), whole).alias("row")).select("row.*")
-        out = out.alias("d").join(again.alias("a"), same("a"), "left_anti").unionByName(once)
+        once = out.alias("d").join(again.alias("a").hint("merge"), same("a"), "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), whole).alias("row")).select("row.*")
+        out = out.alias("d").join(again.alias("a").hint("merge"), same("a"), "left_anti").unionByName(once)
     return out
 
 

@@ -125,3 +125,10 @@ def test_nothing_that_grows_is_broadcast(spark, monkeypatch):
     plans.append(plan(simhash.near_duplicates(df)))
     assert len(plans) > 3 and any("SortMergeJoin" in p for p in plans)
     assert not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_ids_given_more_than_once_are_not_broadcast(spark):
+    rows = [(k // 2, f"{k} a b c d e f g h {k * k}") for k in range(8)]
+    out = simhash.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3]
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
