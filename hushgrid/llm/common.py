@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes that a Python stage takes at once. Spark bounds its own batches by bytes; these parts of them are what becomes Python objects.
 PART_ROWS, PART_BYTES = 512, 4 << 20
+#: Bytes of a row group of stored tables. A task holds one whole while it writes or reads, and texts hardly shrink; Parquet's own 128 MB are too much for each core.
+GROUP_BYTES = 16 << 20
 
 _made: list[str] = []
 
@@ -77,7 +79,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: what it took to make is not done twice, nor lost with an executor."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

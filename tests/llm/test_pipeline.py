@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from hushgrid.llm import decontaminate as DC
-from hushgrid.llm import language_id, quality, simhash, token_counts
+from hushgrid.llm import common, language_id, quality, simhash, token_counts
 from hushgrid.llm.common import tokenizer_path
 from tests.llm.test_near import plain_components
 from tests.llm.test_text_models import sentence
@@ -41,3 +44,16 @@ def test_pipeline(spark, tmp_path):
     kept = {r.doc_id for r in got}
     assert not kept & {k for k, _ in bad} and 300 not in kept and 301 not in kept and 303 not in kept
     assert {k for k, _ in good[3:]} <= kept | {k for (k, _), c in zip(left, comp) if k != c}
+
+
+def test_row_groups_between_stages_are_bounded(spark, tmp_path, monkeypatch):
+    """A task of the next stage holds a whole row group, so its size must not follow that of the file."""
+    hexes = F.concat(*[F.sha2(F.concat_ws("-", "id", F.lit(k)), 512) for k in range(32)])
+    spark.range(0, 12_000, 1, 1).select(F.col("id").alias("doc_id"), hexes.alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    same = lambda s, docs, d: docs.coalesce(1)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", same), ("second", same)])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    (file,) = out.inputFiles()
+    found = pq.ParquetFile(file.removeprefix("file://")).metadata
+    sizes = [found.row_group(k).total_byte_size for k in range(found.num_row_groups)]
+    assert found.num_rows == 12_000 and sum(sizes) > 2 * common.GROUP_BYTES and max(sizes) < 1.5 * common.GROUP_BYTES
